@@ -14,8 +14,9 @@ REFUSED_ABOVE = 67768036191676799
 REFUSED_BELOW = -67768040609740800
 
 
-def timestamp_literal(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
+def timestamp_literal(value: str | Column) -> Column:
+    """A zone-free timestamp from text; columns pass through."""
+    return (value if isinstance(value, Column) else F.lit(value)).cast("timestamp_ntz")
 
 
 def seconds_to_timestamp(seconds: Column) -> Column:
