@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from creatorlake.functions.variants import as_array, kind, scalar
 
-from creatorlake.functions.variants import as_array, kind
 
-
-def decode_text(body: Column, is_base64: Column) -> Column:
+def decode_text(body: str, is_base64: str) -> str:
     """Plain text of a body that may be base64."""
-    decoded = F.try_to_binary(body, F.lit("base64")).cast("string")
-    return F.when(F.coalesce(is_base64, F.lit(False)), decoded).otherwise(body)
+    return f"if(coalesce({is_base64}, false), CAST(try_to_binary({body}, 'base64') AS STRING), {body})"
 
 
-def first_of_list(v: Column) -> Column:
+def first_of_list(v: str) -> str:
     """A non-empty list stands for its first element."""
-    items = as_array(v)
-    return F.when(F.coalesce(F.size(items) > 0, F.lit(False)), F.get(items, F.lit(0))).otherwise(v)
+    return f"if(coalesce(size({as_array(v)}) > 0, false), {as_array(v)}[0], {v})"
 
 
-def parse_body(body_text: Column) -> Column:
+def parse_body(body_text: str) -> str:
     """JSON where it parses; other text stays text."""
-    return first_of_list(F.coalesce(F.try_parse_json(body_text), body_text.cast("variant")))
+    return first_of_list(f"coalesce(try_parse_json({body_text}), CAST({body_text} AS VARIANT))")
 
 
-def decode_body(body: Column, is_base64: Column) -> Column:
+def decode_body(body: str, is_base64: str) -> str:
     """VARIANT body as landed: text is decoded and parsed, anything else is already parsed."""
-    return F.when(
-        kind(body) == "STRING", parse_body(decode_text(F.try_variant_get(body, "$", "string"), is_base64))
-    ).otherwise(first_of_list(body))
+    parsed = parse_body(decode_text(scalar(body, "string"), is_base64))
+    return f"if({kind(body)} = 'STRING', {parsed}, {first_of_list(body)})"
 
 
-def reparse_text(body: Column) -> Column:
+def reparse_text(body: str) -> str:
     """A body that is still text gets one more parse; NULL if that fails."""
-    return F.when(
-        kind(body) == "STRING", F.try_parse_json(F.try_variant_get(body, "$", "string"))
-    ).otherwise(body)
+    return f"if({kind(body)} = 'STRING', try_parse_json({scalar(body, 'string')}), {body})"
 
 
-def is_large_response(headers: Column, threshold: int) -> Column:
-    length = F.try_element_at(headers, F.lit("content-length")).try_cast("bigint")
-    return F.coalesce(length > threshold, F.lit(False))
+def is_large_response(headers: str, threshold: int) -> str:
+    return f"coalesce(try_cast(try_element_at({headers}, 'content-length') AS BIGINT) > {threshold}, false)"

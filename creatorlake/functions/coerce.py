@@ -2,70 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from creatorlake.constants import FALSE_WORDS, TRUE_WORDS
-from creatorlake.functions.variants import kind
+from creatorlake.functions.sql import matches, text_literal, words
+from creatorlake.functions.variants import kind, scalar
 
 _BLANK = r"[ \t\n\x0B\f\r]*"
 _INT_TEXT = rf"\A{_BLANK}[+-]?[0-9]+(_[0-9]+)*{_BLANK}\z"
 _INT_TEXT_ZERO_FRACTION = rf"\A{_BLANK}[+-]?[0-9]+(_[0-9]+)*(\.0+)?{_BLANK}\z"
-# Doubles at or beyond 2^63 do not fit BIGINT.
-_BIGINT_EDGE = float(2**63)
+_DIGITS = text_literal(r"[+-]?[0-9][0-9_]*")
 
 
-def _text_to_bigint(s: Column) -> Column:
-    digits = F.regexp_replace(F.regexp_extract(s, r"[+-]?[0-9][0-9_]*", 0), "_", "")
-    return digits.try_cast("bigint")
+def _text_to_bigint(s: str) -> str:
+    return f"try_cast(replace(regexp_extract({s}, {_DIGITS}, 0), '_', '') AS BIGINT)"
 
 
-def _is_fraction_type(k: Column) -> Column:
-    return k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT")
+def _is_fraction_type(v: str) -> str:
+    return f"({kind(v)} LIKE 'DECIMAL%' OR {kind(v)} IN ('DOUBLE', 'FLOAT'))"
 
 
-def comma_int(s: Column) -> Column:
+def comma_int(s: str) -> str:
     """Text with thousands commas: digits only gives the number, anything else gives 0."""
-    bare = F.replace(s, F.lit(","), F.lit(""))
-    return F.when(bare.rlike(r"\A[0-9]+\z"), bare.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    bare = f"replace({s}, ',', '')"
+    return f"if({matches(bare, r'\A[0-9]+\z')}, try_cast({bare} AS BIGINT), 0L)"
 
 
-def lax_int(v: Column) -> Column:
+def lax_int(v: str) -> str:
     """Whole numbers, zero-fraction numbers, booleans, and text such as " 12 ", "+5", "1_000", "12.0"."""
-    k = kind(v)
-    s = F.try_variant_get(v, "$", "string")
-    d = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(k.isin("BIGINT", "BOOLEAN"), F.try_variant_get(v, "$", "bigint"))
-        .when(
-            _is_fraction_type(k) & (d == F.floor(d)) & (F.abs(d) < _BIGINT_EDGE),
-            F.try_variant_get(v, "$", "bigint"),
-        )
-        .when((k == "STRING") & s.rlike(_INT_TEXT_ZERO_FRACTION), _text_to_bigint(s))
-    )
-
-
-def truncating_int(v: Column) -> Column:
+    d, s = scalar(v, "double"), scalar(v, "string")
+    # Doubles at or beyond 2^63 do not fit BIGINT.
+    return f"""CASE
+        WHEN {kind(v)} IN ('BIGINT', 'BOOLEAN') THEN {scalar(v, 'bigint')}
+        WHEN {kind(v)} = 'STRING'
+            THEN if({matches(s, _INT_TEXT_ZERO_FRACTION)}, {_text_to_bigint(s)}, NULL)
+        WHEN {_is_fraction_type(v)} AND {d} = floor({d}) AND abs({d}) < 9223372036854775808D
+            THEN {scalar(v, 'bigint')} END"""
+
+
+def truncating_int(v: str) -> str:
     """Like ``lax_int`` but numbers lose their fraction and text must be a plain integer."""
-    k = kind(v)
-    s = F.try_variant_get(v, "$", "string")
-    return (
-        F.when(k.isin("BIGINT", "BOOLEAN"), F.try_variant_get(v, "$", "bigint"))
-        .when(_is_fraction_type(k), F.try_variant_get(v, "$", "bigint"))
-        .when((k == "STRING") & s.rlike(_INT_TEXT), _text_to_bigint(s))
-    )
+    s = scalar(v, "string")
+    return f"""CASE
+        WHEN {kind(v)} IN ('BIGINT', 'BOOLEAN') THEN {scalar(v, 'bigint')}
+        WHEN {kind(v)} = 'STRING' THEN if({matches(s, _INT_TEXT)}, {_text_to_bigint(s)}, NULL)
+        WHEN {_is_fraction_type(v)} THEN {scalar(v, 'bigint')} END"""
 
 
-def counter(v: Column) -> Column:
+def counter(v: str) -> str:
     """Text goes through ``comma_int``; every other type through ``lax_int``."""
-    return F.when(kind(v) == "STRING", comma_int(F.try_variant_get(v, "$", "string"))).otherwise(lax_int(v))
-
-
-def lax_bool(v: Column) -> Column:
-    k = kind(v)
-    word = F.lower(F.try_variant_get(v, "$", "string"))
-    d = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when((k == "BIGINT") | _is_fraction_type(k), F.when(d == 1, True).when(d == 0, False))
-        .when(k == "STRING", F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False))
-    )
+    return f"if({kind(v)} = 'STRING', {comma_int(scalar(v, 'string'))}, {lax_int(v)})"
+
+
+def lax_bool(v: str) -> str:
+    word, d = f"lower({scalar(v, 'string')})", scalar(v, "double")
+    return f"""CASE
+        WHEN {kind(v)} = 'BOOLEAN' THEN {scalar(v, 'boolean')}
+        WHEN {kind(v)} = 'STRING' THEN
+            CASE WHEN {word} IN ({words(TRUE_WORDS)}) THEN true
+                 WHEN {word} IN ({words(FALSE_WORDS)}) THEN false END
+        WHEN {kind(v)} = 'BIGINT' OR {_is_fraction_type(v)} THEN
+            CASE {d} WHEN 1 THEN true WHEN 0 THEN false END END"""

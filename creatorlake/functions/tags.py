@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from creatorlake.constants import HASHTAG_MAX_LENGTH, HASHTAG_PATTERN
+from creatorlake.functions.sql import matches
 
 
-def with_hash(tag: Column) -> Column:
+def with_hash(tag: str) -> str:
     """Trimmed, with a leading ``#``."""
-    bare = F.trim(tag)
-    return F.when(bare.startswith("#"), bare).otherwise(F.concat(F.lit("#"), bare))
+    return f"if(startswith(trim({tag}), '#'), trim({tag}), concat('#', trim({tag})))"
 
 
-def without_hash(tag: Column) -> Column:
+def without_hash(tag: str) -> str:
     """Lower case, every ``#`` removed."""
-    return F.lower(F.replace(tag, F.lit("#"), F.lit("")))
+    return f"lower(replace({tag}, '#', ''))"
 
 
-def is_valid_tag(tag: Column) -> Column:
-    return F.coalesce(tag.rlike(HASHTAG_PATTERN) & (F.length(tag) <= HASHTAG_MAX_LENGTH), F.lit(False))
+def is_valid_tag(tag: str) -> str:
+    return f"coalesce({matches(tag, HASHTAG_PATTERN)} AND length({tag}) <= {HASHTAG_MAX_LENGTH}, false)"
 
 
-def before_first_false(values: Column, flags: Column) -> Column:
+def before_first_false(values: str, flags: str) -> str:
     """The elements before the first one whose flag is false; one pass, no row explosion."""
-    cut = F.array_position(flags, F.lit(False)).cast("int")
-    return F.when(cut > 0, F.slice(values, 1, cut - 1)).otherwise(values)
+    cut = f"CAST(array_position({flags}, false) AS INT)"
+    return f"if({cut} > 0, slice({values}, 1, {cut} - 1), {values})"

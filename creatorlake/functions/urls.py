@@ -2,106 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from creatorlake.constants import SITE_URL, URL_MAX_LENGTH
+from creatorlake.functions.sql import matches, text_literal
 
 # scheme : slashes authority path query fragment
 _PARTS = r"(?is)\A(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 _HOST_PORT = r"(?s)\A(\[[^\]]*\]|[^:]*)(?::([0-9]*))?\z"
-_NAME = r"\A[a-z0-9!\"$&'()*+,;=_.~{}`-]+\z"
-_IPV4 = r"\A(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}\z"
+_NAME = r"\A[a-z0-9!\"$&\x27()*+,;=_.~{}`-]+\z"
+_BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IPV4 = rf"\A{_BYTE}(\.{_BYTE}){{3}}\z"
 _ENDS_IN_NUMBER = r"(\A|\.)([0-9]+|0x[0-9a-f]*)\.?\z"
 _IPV6 = r"\A\[[0-9a-f:.]+\]\z"
 _PATH_UNSAFE = r"[\x00-\x20\"#<>?`{}\x7f]|[^\x00-\x7f]"
-_QUERY_UNSAFE = r"[\x00-\x20\"#<>'\x7f]|[^\x00-\x7f]"
+_QUERY_UNSAFE = r"[\x00-\x20\"#<>\x27\x7f]|[^\x00-\x7f]"
 _FRAGMENT_UNSAFE = r"[\x00-\x20\"<>`\x7f]|[^\x00-\x7f]"
+_ONE_DOT = r"(?i)\A(\.|%2e)\z"
+_TWO_DOTS = r"(?i)\A(\.|%2e){2}\z"
 _DOT_SEGMENT = r"(?i)(\A|/)(\.|%2e){1,2}(/|\z)"
 
 
-def at_name(username: Column) -> Column:
-    return F.when(username.startswith("@"), username).otherwise(F.concat(F.lit("@"), username))
+def at_name(username: str) -> str:
+    return f"if(startswith({username}, '@'), {username}, concat('@', {username}))"
 
 
-def profile_url(username: Column) -> Column:
-    return F.concat(F.lit(SITE_URL), at_name(username))
+def profile_url(username: str) -> str:
+    return f"concat('{SITE_URL}', {at_name(username)})"
 
 
-def plain_profile_url(username: Column) -> Column:
+def plain_profile_url(username: str) -> str:
     """The form stored with a found profile: always one more ``@``."""
-    return F.concat(F.lit(SITE_URL + "@"), username)
+    return f"concat('{SITE_URL}@', {username})"
+
+
+def video_url(username: str, post_id: str) -> str:
+    return f"concat('{SITE_URL}', {at_name(username)}, '/video/', {post_id})"
+
 
+def _part(s: str, pattern: str, group: int) -> str:
+    return f"regexp_extract({s}, {text_literal(pattern)}, {group})"
 
-def video_url(username: Column, post_id: Column) -> Column:
-    return F.concat(F.lit(SITE_URL), at_name(username), F.lit("/video/"), post_id)
 
+def _without(s: str, pattern: str) -> str:
+    return f"regexp_replace({s}, {text_literal(pattern)}, '')"
 
-def _percent_encode(s: Column, unsafe: str) -> Column:
-    encoded = F.array_join(
-        F.transform(
-            F.split(s, ""),
-            lambda c: F.when(c == " ", F.lit("%20")).when(c.rlike(unsafe), F.url_encode(c)).otherwise(c),
-        ),
-        "",
-    )
-    return F.when(s.rlike(unsafe), encoded).otherwise(s)
 
+def _percent_encode(s: str, unsafe: str) -> str:
+    return f"""if({matches(s, unsafe)}, array_join(transform(split({s}, ''),
+        c -> CASE WHEN c = ' ' THEN '%20' WHEN {matches('c', unsafe)} THEN url_encode(c) ELSE c END), ''), {s})"""
 
-def _drop_dot_segments(path: Column) -> Column:
+
+def _drop_dot_segments(path: str) -> str:
     """``.`` vanishes, ``..`` also takes the segment before it; at the end both leave a slash."""
-    segments = F.split(F.regexp_replace(path, r"\A/", ""), "/")
-    one = r"(?i)\A(\.|%2e)\z"
-    two = r"(?i)\A(\.|%2e){2}\z"
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, seg: F.when(
-            seg.rlike(two), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        ).when(seg.rlike(one), done).otherwise(F.array_append(done, seg)),
-    )
-    last = F.element_at(segments, -1)
-    tail = F.when(last.rlike(one) | last.rlike(two), F.array_append(kept, F.lit(""))).otherwise(kept)
-    clean = F.concat(F.lit("/"), F.array_join(tail, "/"))
-    return F.when(path.rlike(_DOT_SEGMENT), clean).otherwise(path)
-
-
-def normalize_url(s: Column) -> Column:
+    segments = f"split({_without(path, chr(92) + 'A/')}, '/')"
+    last = f"element_at({segments}, -1)"
+    kept = f"""aggregate({segments}, CAST(array() AS ARRAY<STRING>), (done, s) -> CASE
+        WHEN {matches('s', _TWO_DOTS)} THEN slice(done, 1, greatest(size(done) - 1, 0))
+        WHEN {matches('s', _ONE_DOT)} THEN done ELSE array_append(done, s) END)"""
+    open_end = f"({matches(last, _ONE_DOT)} OR {matches(last, _TWO_DOTS)})"
+    resolved = f"concat('/', array_join(if({open_end}, array_append({kept}, ''), {kept}), '/'))"
+    return f"if({matches(path, _DOT_SEGMENT)}, {resolved}, {path})"
+
+
+def normalize_url(s: str) -> str:
     """http or https address in normal form, or NULL. Never rejects a record.
 
     Lower-case scheme and host, default port dropped, ``/`` for an empty path, unsafe characters
     percent-encoded, dot segments resolved. NULL also for international, percent-encoded and
     short numeric host names."""
-    bare = F.regexp_replace(F.regexp_replace(s, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
-    scheme = F.lower(F.regexp_extract(bare, _PARTS, 1))
-    authority = F.regexp_extract(bare, _PARTS, 2)
-    user = F.when(authority.contains("@"), F.regexp_extract(authority, r"(?s)\A(.*)@", 1))
-    host_port = F.regexp_replace(authority, r"(?s)\A.*@", "")
-    host = F.lower(F.regexp_extract(host_port, _HOST_PORT, 1))
-    port = F.regexp_extract(host_port, _HOST_PORT, 2).try_cast("int")
-    bad_port = F.regexp_extract(host_port, _HOST_PORT, 2) != ""
-    default_port = F.when(scheme == "http", 80).otherwise(443)
-    host_ok = (
-        host.rlike(_IPV6)
-        | F.when(host.rlike(_ENDS_IN_NUMBER), host.rlike(_IPV4)).otherwise(host.rlike(_NAME))
-    )
-    port_ok = ~bad_port | (F.coalesce(port, F.lit(65536)) <= 65535)
-    path = F.replace(F.regexp_extract(bare, _PARTS, 3), F.lit("\\"), F.lit("/"))
-    path = F.when(path == "", F.lit("/")).otherwise(_percent_encode(_drop_dot_segments(path), _PATH_UNSAFE))
-    query = _percent_encode(F.regexp_extract(bare, _PARTS, 4), _QUERY_UNSAFE)
-    fragment = _percent_encode(F.regexp_extract(bare, _PARTS, 5), _FRAGMENT_UNSAFE)
-    built = F.concat(
-        scheme,
-        F.lit("://"),
-        F.when(user.isNull() | (user == ""), F.lit("")).otherwise(
-            F.concat(F.replace(user, F.lit("@"), F.lit("%40")), F.lit("@"))
-        ),
-        host,
-        F.when(port.isNull() | (port == default_port), F.lit("")).otherwise(
-            F.concat(F.lit(":"), port.cast("string"))
-        ),
-        path,
-        query,
-        fragment,
-    )
-    usable = (F.length(s) <= URL_MAX_LENGTH) & bare.rlike(_PARTS) & host_port.rlike(_HOST_PORT)
-    return F.when(usable & host_ok & port_ok, built)
+    bare = _without(_without(s, r"\A[\x00-\x20]+|[\x00-\x20]+\z"), r"[\t\n\r]")
+    authority = _part(bare, _PARTS, 2)
+    host_port = _without(authority, r"(?s)\A.*@")
+    return f"""get(transform(
+      transform(
+        filter(array(named_struct(
+          'scheme', lower({_part(bare, _PARTS, 1)}),
+          'user', regexp_extract({authority}, r'(?s)\\A(.*)@', 1),
+          'host', lower({_part(host_port, _HOST_PORT, 1)}),
+          'port', {_part(host_port, _HOST_PORT, 2)},
+          'path', replace({_part(bare, _PARTS, 3)}, r'\\', '/'),
+          'query', {_part(bare, _PARTS, 4)},
+          'fragment', {_part(bare, _PARTS, 5)})),
+          u -> length({s}) <= {URL_MAX_LENGTH}
+            AND {matches(bare, _PARTS)} AND {matches(host_port, _HOST_PORT)}
+            AND ({matches('u.host', _IPV6)}
+                 OR if({matches('u.host', _ENDS_IN_NUMBER)}, {matches('u.host', _IPV4)}, {matches('u.host', _NAME)}))
+            AND (u.port = '' OR coalesce(try_cast(u.port AS INT), 65536) <= 65535)),
+        u -> named_struct('u', u, 'port', try_cast(u.port AS INT),
+                          'path', if(u.path = '', '/', {_drop_dot_segments('u.path')}))),
+      p -> concat(
+        p.u.scheme, '://',
+        if(p.u.user = '', '', concat(replace(p.u.user, '@', '%40'), '@')),
+        p.u.host,
+        if(p.port IS NULL OR p.port = if(p.u.scheme = 'http', 80, 443), '', concat(':', p.port)),
+        {_percent_encode('p.path', _PATH_UNSAFE)},
+        {_percent_encode('p.u.query', _QUERY_UNSAFE)},
+        {_percent_encode('p.u.fragment', _FRAGMENT_UNSAFE)})), 0)"""

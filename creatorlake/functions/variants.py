@@ -2,60 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
-
-def kind(v: Column) -> Column:
+def kind(v: str) -> str:
     """Type name of a scalar: BIGINT, DECIMAL(p,s), DOUBLE, STRING, BOOLEAN, VOID, ..."""
-    return F.schema_of_variant(v)
+    return f"schema_of_variant({v})"
 
 
-def field(v: Column, path: str) -> Column:
+def field(v: str, path: str) -> str:
     """Value at a dotted path; SQL NULL if missing, variant null if JSON null."""
-    return F.try_variant_get(v, f"$.{path}", "variant")
+    return f"try_variant_get({v}, '$.{path}', 'variant')"
 
 
-def constant(json_text: str) -> Column:
-    return F.parse_json(F.lit(json_text))
+def scalar(v: str, sql_type: str) -> str:
+    return f"try_variant_get({v}, '$', '{sql_type}')"
 
 
-def get_or_default(v: Column, key: str, default: str) -> Column:
+def get_or_default(v: str, key: str, default: str) -> str:
     """The default (JSON text) stands in for a missing key only; JSON null is kept."""
-    return F.coalesce(field(v, key), constant(default))
+    return f"coalesce({field(v, key)}, parse_json('{default}'))"
 
 
-def safe_get(v: Column, path: str, default: str) -> Column:
+def safe_get(v: str, path: str, default: str) -> str:
     """The default stands in for a missing key, a wrong container on the way, and JSON null."""
+    # Every type but variant itself reads JSON null as SQL NULL.
     found = field(v, path)
-    return F.when(found.isNull() | F.is_variant_null(found), constant(default)).otherwise(found)
+    return f"if({is_nothing(found)}, parse_json('{default}'), {found})"
 
 
-def as_array(v: Column) -> Column:
+def as_array(v: str) -> str:
     """ARRAY<VARIANT>, or NULL for anything but a list."""
-    return F.try_variant_get(v, "$", "array<variant>")
+    return scalar(v, "array<variant>")
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "map<string, variant>").isNotNull(), F.lit(False))
+def is_object(v: str) -> str:
+    return f"({scalar(v, 'map<string, variant>')} IS NOT NULL)"
 
 
-def is_nothing(v: Column) -> Column:
+def is_nothing(v: str) -> str:
     """Missing or JSON null."""
-    return v.isNull() | F.is_variant_null(v)
+    return f"({v} IS NULL OR is_variant_null({v}))"
 
 
-def is_empty(v: Column) -> Column:
+def is_empty(v: str) -> str:
     """Missing, null, false, zero, empty text, empty list or empty object."""
-    as_map = F.try_variant_get(v, "$", "map<string, variant>")
     return (
-        is_nothing(v)
-        | F.coalesce(F.size(as_map) == 0, F.lit(False))
-        | F.coalesce(F.size(as_array(v)) == 0, F.lit(False))
-        | F.coalesce((F.try_variant_get(v, "$", "string") == "") & (kind(v) == "STRING"), F.lit(False))
-        | F.coalesce((F.try_variant_get(v, "$", "double") == 0) & ~(kind(v) == "STRING"), F.lit(False))
+        f"({is_nothing(v)}"
+        f" OR coalesce(size({scalar(v, 'map<string, variant>')}) = 0, false)"
+        f" OR coalesce(size({as_array(v)}) = 0, false)"
+        f" OR coalesce({kind(v)} = 'STRING' AND {scalar(v, 'string')} = '', false)"
+        f" OR coalesce({kind(v)} <> 'STRING' AND {scalar(v, 'double')} = 0, false))"
     )
 
 
-def text(v: Column) -> Column:
+def text(v: str) -> str:
     """Text only: numbers, booleans and containers give NULL."""
-    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return f"if({kind(v)} = 'STRING', {scalar(v, 'string')}, NULL)"

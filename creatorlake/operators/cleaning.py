@@ -6,13 +6,14 @@ payload is parsed once, all typed columns and the broken rules come out, nothing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from creatorlake.constants import (
     COMMENT_COLUMNS, DEFAULT_DURATION, HASHTAG_FREQUENCY_COLUMNS, INFLUENCER_COLUMNS, POST_COLUMNS,
     POST_HASHTAG_COLUMNS, REPLY_COLUMNS,
 )
 from creatorlake.functions.coerce import counter, lax_bool, lax_int
+from creatorlake.functions.sql import named
 from creatorlake.functions.tags import before_first_false, is_valid_tag, without_hash
 from creatorlake.functions.times import epoch_to_timestamp, timestamp_literal
 from creatorlake.functions.urls import normalize_url
@@ -24,77 +25,80 @@ from creatorlake.operators.quality import at_least, length_between, present, val
 EMPTY_TEXT = '""'
 
 
-def _url(v: Column) -> Column:
-    return normalize_url(text(v))
+def _text(v: str, key: str) -> str:
+    """Text field that is empty when missing."""
+    return text(get_or_default(v, key, EMPTY_TEXT))
 
 
-def _optional(raw: Column, value: Column) -> Column:
-    """True when a nullable field is null in the input or could be read."""
-    return is_nothing(raw) | value.isNotNull()
+def _with_payload(df: DataFrame, key: str) -> DataFrame:
+    return df.selectExpr("record_pos", "record", f"{get_or_default('record', key, '{}')} AS payload")
 
 
-def _payload(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("payload", get_or_default(F.col("record"), key, "{}"))
-
-
-def _objects(*values: Column) -> Column:
-    ok = is_object(values[0])
-    for v in values[1:]:
-        ok = ok & is_object(v)
-    return ok
+PAYLOAD_OK = f"{is_object('record')} AND {is_object('payload')}"
 
 
 # --- profiles ---------------------------------------------------------------------------------
 
+# Setting columns and the payload keys they come from.
+SETTINGS = {
+    "comment_setting": "commentSetting",
+    "duet_setting": "duetSetting",
+    "stitch_setting": "stitchSetting",
+    "download_setting": "downloadSetting",
+}
 
-def check_profiles(records: DataFrame, run_ts: Column | str) -> DataFrame:
+
+def check_profiles(records: DataFrame, run_ts) -> DataFrame:
     """Influencer rows with their found-under ``hashtags`` and ``violations``."""
-    run_ts = timestamp_literal(run_ts)
-    record, author = F.col("record"), F.col("payload")
-    settings = {
-        "comment_setting": "commentSetting",
-        "duet_setting": "duetSetting",
-        "stitch_setting": "stitchSetting",
-        "download_setting": "downloadSetting",
+    raw = {
+        "bio_raw": get_or_default("payload", "signature", EMPTY_TEXT),
+        "hashtags_raw": get_or_default("record", "found_under_hashtags", "[]"),
+        "follower_raw": get_or_default("record", "follower_count", "0"),
+        "following_raw": get_or_default("record", "following_count", "0"),
+        "heart_raw": get_or_default("record", "heart_count", "0"),
+        "video_raw": get_or_default("record", "video_count", "0"),
+        **{f"{name}_raw": field("payload", key) for name, key in SETTINGS.items()},
     }
-    df = _payload(records, "raw_author_data").select(
-        "record_pos",
-        "record",
-        _objects(record, author).alias("payload_ok"),
-        text(get_or_default(record, "user_id", EMPTY_TEXT)).alias("tiktok_id"),
-        text(get_or_default(record, "username", EMPTY_TEXT)).alias("username"),
-        text(get_or_default(author, "secUid", EMPTY_TEXT)).alias("sec_uid"),
-        text(get_or_default(record, "display_name", EMPTY_TEXT)).alias("display_name"),
-        get_or_default(author, "signature", EMPTY_TEXT).alias("bio_raw"),
-        lax_bool(get_or_default(author, "verified", "false")).alias("is_verified"),
-        lax_bool(get_or_default(author, "privateAccount", "false")).alias("is_private"),
-        _url(field(record, "profile_url")).alias("profile_url"),
-        _url(field(author, "avatarThumb")).alias("avatar_thumb"),
-        _url(field(author, "avatarMedium")).alias("avatar_medium"),
-        _url(field(author, "avatarLarger")).alias("avatar_large"),
-        lax_int(get_or_default(record, "follower_count", "0")).alias("follower_count"),
-        lax_int(get_or_default(record, "following_count", "0")).alias("following_count"),
-        lax_int(get_or_default(record, "heart_count", "0")).alias("total_likes"),
-        lax_int(get_or_default(record, "video_count", "0")).alias("video_count"),
-        *[field(author, key).alias(f"{name}_raw") for name, key in settings.items()],
-        run_ts.alias("created_at"),
-        run_ts.alias("updated_at"),
-        get_or_default(record, "found_under_hashtags", "[]").alias("hashtags_raw"),
-    )
-    df = df.withColumns(
-        {
-            "bio_text": text(F.col("bio_raw")),
-            "hashtags": F.transform(as_array(F.col("hashtags_raw")), text),
-            **{name: lax_int(F.col(f"{name}_raw")).cast("int") for name in settings},
-        }
+    typed = {
+        "payload_ok": PAYLOAD_OK,
+        "tiktok_id": _text("record", "user_id"),
+        "username": _text("record", "username"),
+        "sec_uid": _text("payload", "secUid"),
+        "display_name": _text("record", "display_name"),
+        "bio_text": text("bio_raw"),
+        "is_verified": lax_bool(get_or_default("payload", "verified", "false")),
+        "is_private": lax_bool(get_or_default("payload", "privateAccount", "false")),
+        "profile_url": normalize_url("profile_address"),
+        "avatar_thumb": normalize_url("thumb_address"),
+        "avatar_medium": normalize_url("medium_address"),
+        "avatar_large": normalize_url("large_address"),
+        "follower_count": lax_int("follower_raw"),
+        "following_count": lax_int("following_raw"),
+        "total_likes": lax_int("heart_raw"),
+        "video_count": lax_int("video_raw"),
+        **{name: f"CAST({lax_int(f'{name}_raw')} AS INT)" for name in SETTINGS},
+        "created_at": timestamp_literal(run_ts),
+        "updated_at": timestamp_literal(run_ts),
+        "hashtags": f"transform({as_array('hashtags_raw')}, t -> {text('t')})",
+    }
+    addresses = {
+        "profile_address": text(field("record", "profile_url")),
+        "thumb_address": text(field("payload", "avatarThumb")),
+        "medium_address": text(field("payload", "avatarMedium")),
+        "large_address": text(field("payload", "avatarLarger")),
+    }
+    df = (
+        _with_payload(records, "raw_author_data")
+        .selectExpr("*", *named(raw), *named(addresses))
+        .selectExpr("*", *named(typed))
     )
     rules = {
-        "raw_author_data: object": F.col("payload_ok"),
+        "raw_author_data: object": "payload_ok",
         "tiktok_id: text, 1 or longer": length_between("tiktok_id", 1),
         "username: text, 1 to 50": length_between("username", 1, 50),
         "sec_uid: text": present("sec_uid"),
         "display_name: text, 1 to 100": length_between("display_name", 1, 100),
-        "bio_text: text or null": _optional(F.col("bio_raw"), F.col("bio_text")),
+        "bio_text: text or null": f"{is_nothing('bio_raw')} OR bio_text IS NOT NULL",
         "is_verified: boolean": present("is_verified"),
         "is_private: boolean": present("is_private"),
         "follower_count: integer, 0 or more": at_least("follower_count", 0),
@@ -102,11 +106,11 @@ def check_profiles(records: DataFrame, run_ts: Column | str) -> DataFrame:
         "video_count: integer, 0 or more": at_least("video_count", 0),
         "total_likes: integer, 0 or more": at_least("total_likes", 0),
         **{
-            f"{name}: null or 0 to 3": is_nothing(F.col(f"{name}_raw")) | F.col(name).between(0, 3)
-            for name in settings
+            f"{name}: null or 0 to 3": f"{is_nothing(f'{name}_raw')} OR {name} BETWEEN 0 AND 3"
+            for name in SETTINGS
         },
-        "hashtags: null or list of text": F.is_variant_null(F.col("hashtags_raw"))
-        | (F.col("hashtags").isNotNull() & ~F.exists("hashtags", lambda t: t.isNull())),
+        "hashtags: null or list of text": "is_variant_null(hashtags_raw)"
+        " OR (hashtags IS NOT NULL AND NOT exists(hashtags, t -> t IS NULL))",
     }
     return with_violations(df, rules).select("record_pos", "record", *INFLUENCER_COLUMNS, "hashtags", "violations")
 
@@ -117,89 +121,80 @@ def influencers(checked: DataFrame) -> DataFrame:
 
 def profile_tags(checked: DataFrame) -> DataFrame:
     """One row per found-under tag of a valid profile, repeats and odd tags included."""
-    return valid(checked).select(
-        F.col("tiktok_id").alias("influencer_tiktok_id"), F.explode("hashtags").alias("tag")
-    ).select("influencer_tiktok_id", without_hash(F.col("tag")).alias("hashtag"))
+    tags = valid(checked).select(F.col("tiktok_id").alias("influencer_tiktok_id"), F.explode("hashtags").alias("tag"))
+    return tags.selectExpr("influencer_tiktok_id", f"{without_hash('tag')} AS hashtag")
 
 
 # --- posts ------------------------------------------------------------------------------------
 
 
-def post_tag_list(items: Column, on_bad_hashtag: str = "cut") -> Column:
+def tag_list(items: str, on_bad_hashtag: str = "cut") -> str:
     """Hashtag names of a ``textExtra`` list (ARRAY<VARIANT>, NULL allowed).
 
     ``cut``: the first unusable entry ends the list. ``skip``: only that entry is left out."""
-    read = F.transform(
-        items,
-        lambda x: F.struct(
-            is_object(x).alias("object"),
-            # 1, 1.0 and true all equal 1; the text "1" does not.
-            F.coalesce(
-                (lax_int(field(x, "type")) == 1) & ~kind(field(x, "type")).isin("STRING"), F.lit(False)
-            ).alias("is_tag"),
-            text(get_or_default(x, "hashtagName", EMPTY_TEXT)).alias("raw_name"),
-        ),
-    )
-    named = F.transform(
-        read,
-        lambda s: F.struct(
-            F.lower(s["raw_name"]).alias("name"),
-            (s["object"] & s["is_tag"] & (F.coalesce(s["raw_name"], F.lit("?")) != "")).alias("wanted"),
-            s["object"].alias("object"),
-        ),
-    )
-    # An entry is fine if it is an object that either is no named tag or has a valid name.
-    flags = F.transform(named, lambda s: s["object"] & (~s["wanted"] | is_valid_tag(s["name"])))
+    entry_type, entry_name = field("x", "type"), get_or_default("x", "hashtagName", EMPTY_TEXT)
+    # 1, 1.0 and true all equal 1; the text "1" does not.
+    is_tag = f"coalesce({kind(entry_type)} <> 'STRING' AND {lax_int(entry_type)} = 1, false)"
+    read = f"""transform({items}, x -> named_struct(
+        'object', {is_object('x')}, 'is_tag', {is_tag}, 'name', lower({text(entry_name)})))"""
+    # An entry without a name is passed over; one whose name is no text is unusable.
+    wanted = "(s.object AND s.is_tag AND coalesce(s.name <> '', true))"
+    judged = f"""transform({read}, s -> named_struct('name', s.name, 'wanted', {wanted},
+        'usable', s.object AND (NOT {wanted} OR {is_valid_tag('s.name')})))"""
     if on_bad_hashtag == "cut":
-        kept = F.filter(before_first_false(named, flags), lambda s: s["wanted"])
+        kept = before_first_false(judged, f"transform({judged}, s -> s.usable)")
     else:
-        kept = F.filter(named, lambda s: s["wanted"] & is_valid_tag(s["name"]))
-    return F.coalesce(F.transform(kept, lambda s: s["name"]), F.array().cast("array<string>"))
+        kept = f"filter({judged}, s -> s.usable)"
+    return f"coalesce(transform(filter({kept}, s -> s.wanted), s -> s.name), CAST(array() AS ARRAY<STRING>))"
 
 
-def check_posts(records: DataFrame, run_ts: Column | str, on_bad_hashtag: str = "cut") -> DataFrame:
+def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut") -> DataFrame:
     """Post rows with their surviving ``hashtags`` and ``violations``."""
-    run_ts = timestamp_literal(run_ts)
-    record, post, stats = F.col("record"), F.col("payload"), F.col("stats")
-    df = _payload(records, "raw_post_data").withColumn(
-        "stats",
+    first, second = field("payload", "stats"), field("payload", "statsV2")
+    counts = {
+        "view_count": "playCount",
+        "like_count": "diggCount",
+        "comment_count": "commentCount",
+        "share_count": "shareCount",
+        "collect_count": "collectCount",
+    }
+    typed = {
+        "payload_ok": PAYLOAD_OK,
+        "post_id": _text("record", "post_id"),
+        "influencer_tiktok_id": _text("record", "user_id"),
+        "description": _text("payload", "desc"),
+        "duration": lax_int("duration_raw"),
+        **{name: counter(f"{name}_raw") for name in counts},
+        "is_ad": lax_bool(get_or_default("payload", "isAd", "false")),
+        "is_pinned": lax_bool(get_or_default("payload", "isPinnedItem", "false")),
+        "posted_at": epoch_to_timestamp("posted_raw", run_ts),
+        "created_at": timestamp_literal(run_ts),
+        "hashtags": tag_list(as_array(field("payload", "textExtra")), on_bad_hashtag),
+    }
+    df = (
+        _with_payload(records, "raw_post_data")
         # The whole object falls back, never single fields.
-        F.when(is_empty(field(post, "stats")), field(post, "statsV2")).otherwise(field(post, "stats")),
+        .selectExpr("*", f"if({is_empty(first)}, {second}, {first}) AS stats")
+        .selectExpr(
+            "*",
+            f"{safe_get('payload', 'video.duration', str(DEFAULT_DURATION))} AS duration_raw",
+            f"{get_or_default('payload', 'createTime', '0')} AS posted_raw",
+            *[f"{safe_get('stats', key, '0')} AS {name}_raw" for name, key in counts.items()],
+        )
+        .selectExpr("*", *named(typed))
     )
-    df = df.select(
-        "record_pos",
-        "record",
-        _objects(record, post).alias("payload_ok"),
-        text(get_or_default(record, "post_id", EMPTY_TEXT)).alias("post_id"),
-        text(get_or_default(record, "user_id", EMPTY_TEXT)).alias("influencer_tiktok_id"),
-        text(get_or_default(post, "desc", EMPTY_TEXT)).alias("description"),
-        lax_int(safe_get(post, "video.duration", str(DEFAULT_DURATION))).alias("duration"),
-        counter(safe_get(stats, "playCount", "0")).alias("view_count"),
-        counter(safe_get(stats, "diggCount", "0")).alias("like_count"),
-        counter(safe_get(stats, "commentCount", "0")).alias("comment_count"),
-        counter(safe_get(stats, "shareCount", "0")).alias("share_count"),
-        counter(safe_get(stats, "collectCount", "0")).alias("collect_count"),
-        lax_bool(get_or_default(post, "isAd", "false")).alias("is_ad"),
-        lax_bool(get_or_default(post, "isPinnedItem", "false")).alias("is_pinned"),
-        epoch_to_timestamp(get_or_default(post, "createTime", "0"), run_ts).alias("posted_at"),
-        run_ts.alias("created_at"),
-        as_array(field(post, "textExtra")).alias("tag_items"),
-    )
-    counts = ["view_count", "like_count", "comment_count", "share_count", "collect_count"]
     rules = {
-        "raw_post_data: object": F.col("payload_ok"),
+        "raw_post_data: object": "payload_ok",
         "post_id: text, 1 or longer": length_between("post_id", 1),
         "influencer_tiktok_id: text, 1 or longer": length_between("influencer_tiktok_id", 1),
         "description: text, up to 2000": length_between("description", 0, 2000),
-        "duration: integer, 1 to 600": F.col("duration").between(1, 600),
+        "duration: integer, 1 to 600": "duration BETWEEN 1 AND 600",
         **{f"{name}: integer, 0 or more": at_least(name, 0) for name in counts},
         "is_ad: boolean": present("is_ad"),
         "is_pinned: boolean": present("is_pinned"),
         "posted_at: time": present("posted_at"),
     }
-    return with_violations(df, rules).withColumn(
-        "hashtags", post_tag_list(F.col("tag_items"), on_bad_hashtag)
-    ).select("record_pos", "record", *POST_COLUMNS, "hashtags", "violations")
+    return with_violations(df, rules).select("record_pos", "record", *POST_COLUMNS, "hashtags", "violations")
 
 
 def posts(checked: DataFrame) -> DataFrame:
@@ -217,41 +212,40 @@ def post_tags(checked: DataFrame) -> DataFrame:
 # --- comments and replies ---------------------------------------------------------------------
 
 
-def check_comments(records: DataFrame, run_ts: Column | str) -> DataFrame:
+def check_comments(records: DataFrame, run_ts) -> DataFrame:
     """Comment rows with their ``reply_items`` and ``violations``."""
-    run_ts = timestamp_literal(run_ts)
-    record, comment = F.col("record"), F.col("payload")
-    df = _payload(records, "raw_comment_data").withColumns(
-        {
-            "share": get_or_default(comment, "share_info", "{}"),
-            "replies": field(comment, "reply_comment"),
-        }
-    )
-    share, replies = F.col("share"), F.col("replies")
-    df = df.select(
-        "record_pos",
-        "record",
-        _objects(record, comment).alias("payload_ok"),
-        is_object(share).alias("share_ok"),
-        text(get_or_default(record, "comment_id", EMPTY_TEXT)).alias("comment_id"),
-        text(get_or_default(record, "post_id", EMPTY_TEXT)).alias("post_id"),
-        text(get_or_default(record, "user_id", EMPTY_TEXT)).alias("influencer_tiktok_id"),
-        epoch_to_timestamp(get_or_default(comment, "create_time", "0"), run_ts).alias("create_time"),
-        text(get_or_default(comment, "text", EMPTY_TEXT)).alias("comment_text"),
-        lax_int(get_or_default(comment, "digg_count", "0")).alias("digg_count"),
-        lax_int(get_or_default(comment, "reply_comment_total", "0")).alias("reply_comment_total"),
-        text(get_or_default(share, "title", EMPTY_TEXT)).alias("share_title"),
-        text(get_or_default(share, "desc", EMPTY_TEXT)).alias("share_desc"),
+    typed = {
+        "payload_ok": PAYLOAD_OK,
+        "share_ok": is_object("share"),
+        "comment_id": _text("record", "comment_id"),
+        "post_id": _text("record", "post_id"),
+        "influencer_tiktok_id": _text("record", "user_id"),
+        "create_time": epoch_to_timestamp("created_raw", run_ts),
+        "comment_text": _text("payload", "text"),
+        "digg_count": lax_int("digg_raw"),
+        "reply_comment_total": lax_int("reply_total_raw"),
+        "share_title": _text("share", "title"),
+        "share_desc": _text("share", "desc"),
         # One object stands for a list of one.
-        F.when(is_object(replies), F.array(replies)).otherwise(as_array(replies)).alias("reply_items"),
+        "reply_items": f"if({is_object('replies')}, array(replies), {as_array('replies')})",
+    }
+    df = (
+        _with_payload(records, "raw_comment_data")
+        .selectExpr(
+            "*",
+            f"{get_or_default('payload', 'share_info', '{}')} AS share",
+            f"{field('payload', 'reply_comment')} AS replies",
+            f"{get_or_default('payload', 'create_time', '0')} AS created_raw",
+            f"{get_or_default('payload', 'digg_count', '0')} AS digg_raw",
+            f"{get_or_default('payload', 'reply_comment_total', '0')} AS reply_total_raw",
+        )
+        .selectExpr("*", *named(typed))
     )
+    texts = ["comment_id", "post_id", "influencer_tiktok_id", "comment_text", "share_title", "share_desc"]
     rules = {
-        "raw_comment_data: object": F.col("payload_ok"),
-        "share_info: object": F.col("share_ok"),
-        **{
-            f"{name}: text": present(name)
-            for name in ["comment_id", "post_id", "influencer_tiktok_id", "comment_text", "share_title", "share_desc"]
-        },
+        "raw_comment_data: object": "payload_ok",
+        "share_info: object": "share_ok",
+        **{f"{name}: text": present(name) for name in texts},
         "create_time: time": present("create_time"),
         "digg_count: integer, 0 or more": at_least("digg_count", 0),
         "reply_comment_total: integer": present("reply_comment_total"),
@@ -266,30 +260,37 @@ def comments(checked: DataFrame) -> DataFrame:
 def check_replies(checked_comments: DataFrame) -> DataFrame:
     """Reply rows of valid comments with ``violations``. A reply that is no object, or whose user is
     none, ends the list; a reply that only breaks a rule is rejected alone."""
-    items = F.col("reply_items")
-    readable = F.transform(items, lambda r: is_object(r) & is_object(get_or_default(r, "user", "{}")))
-    df = valid(checked_comments).select(
-        F.col("comment_id").alias("main_comment_id"),
-        F.col("record_pos").alias("comment_pos"),
-        F.posexplode(before_first_false(items, readable)).alias("reply_pos", "record"),
+    readable = f"transform(reply_items, r -> {is_object('r')} AND {is_object(get_or_default('r', 'user', '{}'))})"
+    typed = {
+        "reply_comment_id": _text("record", "cid"),
+        "replier_id": _text("replier", "uid"),
+        "reply_text": _text("record", "text"),
+        "digg_count": lax_int("digg_raw"),
+        "label_text": text("label_raw"),
+    }
+    df = (
+        valid(checked_comments)
+        .select(
+            F.col("comment_id").alias("main_comment_id"),
+            F.col("record_pos").alias("comment_pos"),
+            F.posexplode(F.expr(before_first_false("reply_items", readable))).alias("reply_pos", "record"),
+        )
+        .selectExpr(
+            "main_comment_id",
+            "struct(comment_pos, reply_pos) AS record_pos",
+            "record",
+            f"{get_or_default('record', 'user', '{}')} AS replier",
+            f"{get_or_default('record', 'digg_count', '0')} AS digg_raw",
+            f"{field('record', 'label_text')} AS label_raw",
+        )
+        .selectExpr("*", *named(typed))
     )
-    reply = F.col("record")
-    df = df.select(
-        F.struct("comment_pos", "reply_pos").alias("record_pos"),
-        "record",
-        "main_comment_id",
-        text(get_or_default(reply, "cid", EMPTY_TEXT)).alias("reply_comment_id"),
-        text(get_or_default(get_or_default(reply, "user", "{}"), "uid", EMPTY_TEXT)).alias("replier_id"),
-        text(get_or_default(reply, "text", EMPTY_TEXT)).alias("reply_text"),
-        lax_int(get_or_default(reply, "digg_count", "0")).alias("digg_count"),
-        field(reply, "label_text").alias("label_raw"),
-    ).withColumn("label_text", text(F.col("label_raw")))
     rules = {
         "reply_comment_id: text": present("reply_comment_id"),
         "replier_id: text": present("replier_id"),
         "reply_text: text": present("reply_text"),
         "digg_count: integer, 0 or more": at_least("digg_count", 0),
-        "label_text: text or null": _optional(F.col("label_raw"), F.col("label_text")),
+        "label_text: text or null": f"{is_nothing('label_raw')} OR label_text IS NOT NULL",
     }
     return with_violations(df, rules).select("record_pos", "record", *REPLY_COLUMNS, "violations")
 
@@ -313,5 +314,5 @@ def tag_counts(profile_side: DataFrame, post_side: DataFrame) -> DataFrame:
 
 def hashtag_frequency(counts: DataFrame) -> DataFrame:
     return counts.where(
-        (F.length("influencer_tiktok_id") >= 1) & is_valid_tag(F.col("hashtag")) & (F.col("frequency") >= 1)
+        f"length(influencer_tiktok_id) >= 1 AND {is_valid_tag('hashtag')} AND frequency >= 1"
     ).select(*HASHTAG_FREQUENCY_COLUMNS)

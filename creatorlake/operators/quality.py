@@ -4,53 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from creatorlake.functions.sql import text_literal
 from creatorlake.functions.times import timestamp_literal
 
 
-def length_between(name: str, low: int, high: int | None = None) -> Column:
+def length_between(name: str, low: int, high: int | None = None) -> str:
     """Length in code points; NULL (missing or wrong type) fails."""
-    n = F.length(name)
-    return n >= low if high is None else n.between(low, high)
+    return f"length({name}) >= {low}" if high is None else f"length({name}) BETWEEN {low} AND {high}"
 
 
-def at_least(name: str, low: int) -> Column:
-    return F.col(name) >= low
+def at_least(name: str, low: int) -> str:
+    return f"{name} >= {low}"
 
 
-def present(name: str) -> Column:
-    return F.col(name).isNotNull()
+def present(name: str) -> str:
+    return f"{name} IS NOT NULL"
 
 
-def with_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """Add ``violations``: names of the rules that are false or unknown."""
-    broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
-    return df.withColumn("violations", F.array_compact(F.array(*broken)))
+def with_violations(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
+    """Add ``violations``: names of the rules whose condition is false or unknown.
+
+    The list comes out of a one-element ``explode``: Catalyst cannot push a filter on it below the
+    projection, which would evaluate every coercion a second time inside the predicate."""
+    broken = [f"if({ok}, NULL, {text_literal(name)})" for name, ok in rules.items()]
+    return df.select("*", F.expr(f"explode(array(array_compact(array({', '.join(broken)}))))").alias("violations"))
 
 
 def valid(df: DataFrame) -> DataFrame:
-    return df.where(F.size("violations") == 0)
+    return df.where("size(violations) = 0")
 
 
 def quarantine(df: DataFrame, entity: str, record_id: str) -> DataFrame:
     """Rejected records with their reasons and the record as JSON."""
-    return df.where(F.size("violations") > 0).select(
-        F.lit(entity).alias("entity"),
-        "record_pos",
-        F.col(record_id).alias("record_id"),
-        "violations",
-        F.to_json("record").alias("raw"),
+    return df.where("size(violations) > 0").selectExpr(
+        f"'{entity}' AS entity", "record_pos", f"{record_id} AS record_id", "violations", "to_json(record) AS raw"
     )
 
 
-def error_log(rejected: DataFrame, phase: str, run_ts: Column | str) -> DataFrame:
+def error_log(rejected: DataFrame, phase: str, run_ts) -> DataFrame:
     """One log row per broken rule."""
-    return rejected.select(
-        timestamp_literal(run_ts).alias("timestamp"),
-        F.lit(phase).alias("phase"),
-        F.concat(F.upper("entity"), F.lit("_VALIDATION_ERROR")).alias("error_type"),
-        F.explode("violations").alias("message"),
-        F.col("record_id").alias("item_id"),
-        F.lit(None).cast("string").alias("exception_str"),
+    return rejected.selectExpr(
+        f"{timestamp_literal(run_ts)} AS timestamp",
+        f"'{phase}' AS phase",
+        "concat(upper(entity), '_VALIDATION_ERROR') AS error_type",
+        "explode(violations) AS message",
+        "record_id AS item_id",
+        "CAST(NULL AS STRING) AS exception_str",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from creatorlake.operators import cleaning as c
 from creatorlake.operators.quality import quarantine
@@ -31,7 +31,7 @@ def clean(
     profiles: DataFrame,
     posts: DataFrame,
     comments: DataFrame,
-    run_ts: Column | str,
+    run_ts,
     on_bad_hashtag: str = "cut",
     staged: bool = True,
 ) -> CleanTables:
