@@ -53,3 +53,8 @@ def error_log(rejected: DataFrame, phase: str, run_ts) -> DataFrame:
         "record_id AS item_id",
         "CAST(NULL AS STRING) AS exception_str",
     )
+
+
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """``where`` on freshly coerced columns, kept above their projection like the violations are."""
+    return df.select("*", F.expr(f"explode(array({condition}))").alias("keep")).where("keep").drop("keep")
