@@ -65,6 +65,7 @@ def _comments_out(df):
 
 
 def _kept(source: str, columns: str, keys: str, order: str) -> str:
+    columns = "* EXCLUDE (rn)" if columns == "*" else columns
     return f"""SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn
         FROM ({source})) WHERE rn = 1"""
 
@@ -133,7 +134,7 @@ def first_comment_per_post(spark, sf_dir):
 @query(f"""
     SELECT f.response_seq, f.item_pos, l.hashtag, l.user_id, l.username, l.display_name, l.avatar_url, l.verified,
         l.follower_count, l.following_count, l.heart_count, l.video_count
-    FROM ({_kept(RANKED_SQL, "* EXCLUDE (rn)", "user_id", LAST)}) l
+    FROM ({_kept(RANKED_SQL, "*", "user_id", LAST)}) l
     JOIN ({_kept(RANKED_SQL, "user_id, response_seq, item_pos", "user_id", FIRST)}) f USING (user_id)""")
 def merged_profiles(spark, sf_dir):
     return _authors_out(relations.merge_profiles(ranked(spark, sf_dir)))
