@@ -34,8 +34,14 @@ def as_array(v: str) -> str:
     return scalar(v, "array<variant>")
 
 
+def list_at(v: str, path: str) -> str:
+    """The list at a path in one step; NULL if missing or no list."""
+    return f"try_variant_get({v}, '$.{path}', 'array<variant>')"
+
+
 def is_object(v: str) -> str:
-    return f"({scalar(v, 'map<string, variant>')} IS NOT NULL)"
+    # An empty struct reads no field: the test costs the same however large the object is.
+    return f"({scalar(v, 'struct<>')} IS NOT NULL)"
 
 
 def is_nothing(v: str) -> str:

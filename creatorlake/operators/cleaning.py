@@ -18,7 +18,7 @@ from creatorlake.functions.tags import before_first_false, is_valid_tag, without
 from creatorlake.functions.times import epoch_to_timestamp, timestamp_literal
 from creatorlake.functions.urls import normalize_url
 from creatorlake.functions.variants import (
-    as_array, field, get_or_default, is_empty, is_nothing, is_object, kind, safe_get, text,
+    as_array, field, get_or_default, is_empty, is_nothing, is_object, kind, list_at, safe_get, text,
 )
 from creatorlake.operators.quality import at_least, length_between, present, valid, with_violations
 
@@ -112,7 +112,7 @@ def check_profiles(records: DataFrame, run_ts) -> DataFrame:
         "hashtags: null or list of text": "is_variant_null(hashtags_raw)"
         " OR (hashtags IS NOT NULL AND NOT exists(hashtags, t -> t IS NULL))",
     }
-    return with_violations(df, rules).select("record_pos", "record", *INFLUENCER_COLUMNS, "hashtags", "violations")
+    return with_violations(df, rules, "hashtags").select("record_pos", "record", *INFLUENCER_COLUMNS, "hashtags", "violations")
 
 
 def influencers(checked: DataFrame) -> DataFrame:
@@ -128,24 +128,32 @@ def profile_tags(checked: DataFrame) -> DataFrame:
 # --- posts ------------------------------------------------------------------------------------
 
 
-def tag_list(items: str, on_bad_hashtag: str = "cut") -> str:
-    """Hashtag names of a ``textExtra`` list (ARRAY<VARIANT>, NULL allowed).
+# Stands for an unusable list entry; no valid tag holds this character.
+UNUSABLE = "#"
 
-    ``cut``: the first unusable entry ends the list. ``skip``: only that entry is left out."""
-    entry_type, entry_name = field("x", "type"), get_or_default("x", "hashtagName", EMPTY_TEXT)
-    # 1, 1.0 and true all equal 1; the text "1" does not.
-    is_tag = f"coalesce({kind(entry_type)} <> 'STRING' AND {lax_int(entry_type)} = 1, false)"
-    read = f"""transform({items}, x -> named_struct(
-        'object', {is_object('x')}, 'is_tag', {is_tag}, 'name', lower({text(entry_name)})))"""
-    # An entry without a name is passed over; one whose name is no text is unusable.
-    wanted = "(s.object AND s.is_tag AND coalesce(s.name <> '', true))"
-    judged = f"""transform({read}, s -> named_struct('name', s.name, 'wanted', {wanted},
-        'usable', s.object AND (NOT {wanted} OR {is_valid_tag('s.name')})))"""
+
+def tag_entries(items: str) -> str:
+    """A ``textExtra`` list (ARRAY<VARIANT>) as text entries: the lower-case tag, NULL for an entry to
+    pass over (no hashtag, or no name), ``UNUSABLE`` for one that breaks the rules."""
+    kind_of_type, name = kind(field("x", "type")), field("x", "hashtagName")
+    # 1, 1.0 and true all equal 1; the text "1" does not. Cheap tests and common cases come first.
+    is_tag = f"try_variant_get(x, '$.type', 'double') = 1 AND {kind_of_type} <> 'STRING'"
+    named_entries = f"""transform({items}, x -> CASE
+        WHEN {is_tag} THEN CASE {kind(name)} WHEN 'STRING' THEN lower(try_variant_get(x, '$.hashtagName', 'string'))
+            ELSE if({name} IS NULL, NULL, '{UNUSABLE}') END
+        WHEN NOT {is_object('x')} THEN '{UNUSABLE}' END)"""
+    return f"""transform({named_entries}, t -> CASE WHEN t = '' THEN NULL
+        WHEN t IS NULL OR {is_valid_tag('t')} THEN t ELSE '{UNUSABLE}' END)"""
+
+
+def tag_list(entries: str, on_bad_hashtag: str = "cut") -> str:
+    """Surviving tags. ``cut``: the first unusable entry ends the list. ``skip``: only it is left out."""
     if on_bad_hashtag == "cut":
-        kept = before_first_false(judged, f"transform({judged}, s -> s.usable)")
+        cut = f"CAST(array_position({entries}, '{UNUSABLE}') AS INT)"
+        kept = f"array_compact(if({cut} > 0, slice({entries}, 1, {cut} - 1), {entries}))"
     else:
-        kept = f"filter({judged}, s -> s.usable)"
-    return f"coalesce(transform(filter({kept}, s -> s.wanted), s -> s.name), CAST(array() AS ARRAY<STRING>))"
+        kept = f"filter({entries}, t -> t <> '{UNUSABLE}')"
+    return f"coalesce({kept}, CAST(array() AS ARRAY<STRING>))"
 
 
 def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut") -> DataFrame:
@@ -169,7 +177,7 @@ def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut") -> Data
         "is_pinned": lax_bool(get_or_default("payload", "isPinnedItem", "false")),
         "posted_at": epoch_to_timestamp("posted_raw", run_ts),
         "created_at": timestamp_literal(run_ts),
-        "hashtags": tag_list(as_array(field("payload", "textExtra")), on_bad_hashtag),
+        "hashtags": tag_list("entries", on_bad_hashtag),
     }
     df = (
         _with_payload(records, "raw_post_data")
@@ -179,6 +187,7 @@ def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut") -> Data
             "*",
             f"{safe_get('payload', 'video.duration', str(DEFAULT_DURATION))} AS duration_raw",
             f"{get_or_default('payload', 'createTime', '0')} AS posted_raw",
+            f"{tag_entries(list_at('payload', 'textExtra'))} AS entries",
             *[f"{safe_get('stats', key, '0')} AS {name}_raw" for name, key in counts.items()],
         )
         .selectExpr("*", *named(typed))
@@ -194,7 +203,7 @@ def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut") -> Data
         "is_pinned: boolean": present("is_pinned"),
         "posted_at: time": present("posted_at"),
     }
-    return with_violations(df, rules).select("record_pos", "record", *POST_COLUMNS, "hashtags", "violations")
+    return with_violations(df, rules, "hashtags").select("record_pos", "record", *POST_COLUMNS, "hashtags", "violations")
 
 
 def posts(checked: DataFrame) -> DataFrame:
@@ -250,7 +259,7 @@ def check_comments(records: DataFrame, run_ts) -> DataFrame:
         "digg_count: integer, 0 or more": at_least("digg_count", 0),
         "reply_comment_total: integer": present("reply_comment_total"),
     }
-    return with_violations(df, rules).select("record_pos", "record", *COMMENT_COLUMNS, "reply_items", "violations")
+    return with_violations(df, rules, "reply_items").select("record_pos", "record", *COMMENT_COLUMNS, "reply_items", "violations")
 
 
 def comments(checked: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from creatorlake.functions.bodies import reparse_text
 from creatorlake.functions.coerce import lax_bool, truncating_int
 from creatorlake.functions.sql import named
 from creatorlake.functions.tags import before_first_false, with_hash
-from creatorlake.functions.variants import as_array, field, get_or_default, is_empty, is_object, scalar
+from creatorlake.functions.variants import field, get_or_default, is_empty, is_object, list_at, scalar
 from creatorlake.operators.quality import where_computed
 
 
@@ -25,7 +25,7 @@ def extract_authors(responses: DataFrame) -> DataFrame:
 
     A result that is no object ends its response; an author without an id or with an unusable
     number is left out alone."""
-    data = as_array(field("body", "data"))
+    data = list_at("body", "data")
     results = before_first_false(data, f"transform({data}, r -> {is_object('r')})")
     counts = {
         "follower_count": "followerCount",
@@ -65,7 +65,7 @@ def extract_authors(responses: DataFrame) -> DataFrame:
 def extract_posts(responses: DataFrame) -> DataFrame:
     """Posts of post-list responses; the owner comes from the capture context."""
     return (
-        _items(responses, as_array(field("body", "itemList")), "ctx_user_id")
+        _items(responses, list_at("body", "itemList"), "ctx_user_id")
         .where(is_object("result"))
         .selectExpr(
             "response_seq", "item_pos", "ctx_user_id AS user_id", f"{_plain('result', 'id')} AS post_id",
@@ -78,7 +78,7 @@ def extract_comments(responses: DataFrame) -> DataFrame:
     """Comments of comment-list responses; post and post owner come from the capture context."""
     bodies = responses.withColumn("body", F.expr(reparse_text("body")))
     return (
-        _items(bodies, as_array(field("body", "comments")), "ctx_post_id", "ctx_user_id")
+        _items(bodies, list_at("body", "comments"), "ctx_post_id", "ctx_user_id")
         .where(is_object("result"))
         .selectExpr(
             "response_seq", "item_pos", f"{_plain('result', 'cid')} AS comment_id",

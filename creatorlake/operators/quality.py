@@ -23,13 +23,15 @@ def present(name: str) -> str:
     return f"{name} IS NOT NULL"
 
 
-def with_violations(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
+def with_violations(df: DataFrame, rules: Mapping[str, str], *lists: str) -> DataFrame:
     """Add ``violations``: names of the rules whose condition is false or unknown.
 
-    The list comes out of a one-element ``explode``: Catalyst cannot push a filter on it below the
-    projection, which would evaluate every coercion a second time inside the predicate."""
+    They come out of a one-row ``inline``: Catalyst cannot push a filter on generated columns below
+    the projection, which would evaluate every coercion a second time inside the predicate. ``lists``
+    are array columns that pass the same way, since exploding them later implies a filter too."""
     broken = [f"if({ok}, NULL, {text_literal(name)})" for name, ok in rules.items()]
-    return df.select("*", F.expr(f"explode(array(array_compact(array({', '.join(broken)}))))").alias("violations"))
+    row = [f"array_compact(array({', '.join(broken)})) AS violations", *lists]
+    return df.selectExpr(*[c for c in df.columns if c not in lists], f"inline(array(struct({', '.join(row)})))")
 
 
 def valid(df: DataFrame) -> DataFrame:
