@@ -1,4 +1,4 @@
 """Named queries over the supplied tables, each with the SQL it must agree with."""
 
-from creatorlake.catalog import captures, cleaning, metrics, relations, scalars, summaries  # noqa: F401
+from creatorlake.catalog import captures, cleaning, metrics, relations, scalars, streams, summaries  # noqa: F401
 from creatorlake.catalog.registry import ORACLES, QUERIES  # noqa: F401
