@@ -37,7 +37,7 @@ def checked_profiles(spark, sf_dir):
 
 
 def checked_posts(spark, sf_dir):
-    return cleaning.check_posts(inputs.post_records(spark, sf_dir), inputs.RUN_TS)
+    return cleaning.check_posts(inputs.post_records(spark, sf_dir), inputs.RUN_TS, with_hashtags=False)
 
 
 def checked_documents(spark, sf_dir, on_bad_hashtag="cut"):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from creatorlake import constants as k
 from creatorlake.catalog.inputs import RUN_TS, event_captures, table
 from creatorlake.catalog.registry import query
-from creatorlake.functions import bodies, coerce, tags, times, urls, variants
-from creatorlake.sources.responses import captured, failed, with_large_flag
+from creatorlake.functions import coerce, tags, times, urls, variants
+from creatorlake.sources.responses import captured, decoded, failed, with_large_flag
 
 @query("""
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
@@ -118,7 +118,7 @@ def body_decode(spark, sf_dir):
         "conv_id", "turn", "text", "role = 'assistant' AS is_base64",
         """CASE role WHEN 'user' THEN concat('[', to_json(struct(text)), ',5]')
             WHEN 'assistant' THEN base64(encode(to_json(struct(text)), 'UTF-8')) ELSE concat('{', text) END AS raw""")
-    df = df.selectExpr("*", f"{bodies.decode_body('CAST(raw AS VARIANT)', 'is_base64')} AS body")
+    df = decoded(df.selectExpr("*", "CAST(raw AS VARIANT) AS body"))
     return df.selectExpr(
         "conv_id", "turn", "substring_index(schema_of_variant(body), '<', 1) AS kind",
         "try_variant_get(body, '$.text', 'string') AS body_text",

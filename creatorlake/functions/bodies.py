@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from creatorlake.functions.variants import as_array, kind, scalar
+from creatorlake.functions.variants import kind, scalar
 
 
 def decode_text(body: str, is_base64: str) -> str:
@@ -12,18 +12,13 @@ def decode_text(body: str, is_base64: str) -> str:
 
 def first_of_list(v: str) -> str:
     """A non-empty list stands for its first element."""
-    return f"if(coalesce(size({as_array(v)}) > 0, false), {as_array(v)}[0], {v})"
+    return f"coalesce(try_variant_get({v}, '$[0]', 'variant'), {v})"
 
 
-def parse_body(body_text: str) -> str:
-    """JSON where it parses; other text stays text."""
-    return first_of_list(f"coalesce(try_parse_json({body_text}), CAST({body_text} AS VARIANT))")
-
-
-def decode_body(body: str, is_base64: str) -> str:
-    """VARIANT body as landed: text is decoded and parsed, anything else is already parsed."""
-    parsed = parse_body(decode_text(scalar(body, "string"), is_base64))
-    return f"if({kind(body)} = 'STRING', {parsed}, {first_of_list(body)})"
+def parse_text(body: str, is_base64: str) -> str:
+    """VARIANT body as landed: text is decoded and parsed, or stays text; anything else is parsed already."""
+    decoded = decode_text(scalar(body, "string"), is_base64)
+    return f"if({kind(body)} = 'STRING', coalesce(try_parse_json({decoded}), CAST({decoded} AS VARIANT)), {body})"
 
 
 def reparse_text(body: str) -> str:

@@ -17,16 +17,31 @@ def scalar(v: str, sql_type: str) -> str:
     return f"try_variant_get({v}, '$', '{sql_type}')"
 
 
+def fields(v: str, keys: list[str]) -> str:
+    """Several fields of an object in one read: a struct of VARIANT, SQL NULL for a missing key and for
+    the whole struct if ``v`` is no object. One walk over the object instead of one per field."""
+    members = ", ".join(f"{key}: variant" for key in keys)
+    return f"try_variant_get({v}, '$', 'struct<{members}>')"
+
+
+def default(v: str, default_json: str) -> str:
+    """JSON text in place of a missing value; JSON null is kept."""
+    return f"coalesce({v}, parse_json('{default_json}'))"
+
+
 def get_or_default(v: str, key: str, default: str) -> str:
     """The default (JSON text) stands in for a missing key only; JSON null is kept."""
     return f"coalesce({field(v, key)}, parse_json('{default}'))"
 
 
-def safe_get(v: str, path: str, default: str) -> str:
+def unless_nothing(v: str, default_json: str) -> str:
+    """JSON text in place of a missing value or JSON null."""
+    return f"if({is_nothing(v)}, parse_json('{default_json}'), {v})"
+
+
+def safe_get(v: str, path: str, default_json: str) -> str:
     """The default stands in for a missing key, a wrong container on the way, and JSON null."""
-    # Every type but variant itself reads JSON null as SQL NULL.
-    found = field(v, path)
-    return f"if({is_nothing(found)}, parse_json('{default}'), {found})"
+    return unless_nothing(field(v, path), default_json)
 
 
 def as_array(v: str) -> str:

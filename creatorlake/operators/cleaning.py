@@ -18,23 +18,27 @@ from creatorlake.functions.tags import before_first_false, is_valid_tag, without
 from creatorlake.functions.times import epoch_to_timestamp, timestamp_literal
 from creatorlake.functions.urls import normalize_url
 from creatorlake.functions.variants import (
-    as_array, field, get_or_default, is_empty, is_nothing, is_object, kind, list_at, safe_get, text,
+    as_array, default, fields, get_or_default, is_empty, is_nothing, is_object, kind, safe_get, scalar, text,
+    unless_nothing,
 )
 from creatorlake.operators.quality import at_least, length_between, present, valid, with_violations
 
 EMPTY_TEXT = '""'
 
 
-def _text(v: str, key: str) -> str:
-    """Text field that is empty when missing."""
-    return text(get_or_default(v, key, EMPTY_TEXT))
+def _text(v: str) -> str:
+    """Text that is empty when missing."""
+    return text(default(v, EMPTY_TEXT))
 
 
-def _with_payload(df: DataFrame, key: str) -> DataFrame:
-    return df.selectExpr("record_pos", "record", f"{get_or_default('record', key, '{}')} AS payload")
+def _with_payload(df: DataFrame, keys: list[str], payload: str, payload_keys: list[str]) -> DataFrame:
+    """``r`` holds the fields of the record, ``p`` those of its payload; NULL if not an object."""
+    return df.selectExpr("record_pos", "record", f"{fields('record', [*keys, payload])} AS r").selectExpr(
+        "record_pos", "record", "r", f"{fields(default(f'r.{payload}', '{}'), payload_keys)} AS p"
+    )
 
 
-PAYLOAD_OK = f"{is_object('record')} AND {is_object('payload')}"
+PAYLOAD_OK = "r IS NOT NULL AND p IS NOT NULL"
 
 
 # --- profiles ---------------------------------------------------------------------------------
@@ -51,23 +55,23 @@ SETTINGS = {
 def check_profiles(records: DataFrame, run_ts) -> DataFrame:
     """Influencer rows with their found-under ``hashtags`` and ``violations``."""
     raw = {
-        "bio_raw": get_or_default("payload", "signature", EMPTY_TEXT),
-        "hashtags_raw": get_or_default("record", "found_under_hashtags", "[]"),
-        "follower_raw": get_or_default("record", "follower_count", "0"),
-        "following_raw": get_or_default("record", "following_count", "0"),
-        "heart_raw": get_or_default("record", "heart_count", "0"),
-        "video_raw": get_or_default("record", "video_count", "0"),
-        **{f"{name}_raw": field("payload", key) for name, key in SETTINGS.items()},
+        "bio_raw": default("p.signature", EMPTY_TEXT),
+        "hashtags_raw": default("r.found_under_hashtags", "[]"),
+        "follower_raw": default("r.follower_count", "0"),
+        "following_raw": default("r.following_count", "0"),
+        "heart_raw": default("r.heart_count", "0"),
+        "video_raw": default("r.video_count", "0"),
+        **{f"{name}_raw": f"p.{key}" for name, key in SETTINGS.items()},
     }
     typed = {
         "payload_ok": PAYLOAD_OK,
-        "tiktok_id": _text("record", "user_id"),
-        "username": _text("record", "username"),
-        "sec_uid": _text("payload", "secUid"),
-        "display_name": _text("record", "display_name"),
+        "tiktok_id": _text("r.user_id"),
+        "username": _text("r.username"),
+        "sec_uid": _text("p.secUid"),
+        "display_name": _text("r.display_name"),
         "bio_text": text("bio_raw"),
-        "is_verified": lax_bool(get_or_default("payload", "verified", "false")),
-        "is_private": lax_bool(get_or_default("payload", "privateAccount", "false")),
+        "is_verified": lax_bool(default("p.verified", "false")),
+        "is_private": lax_bool(default("p.privateAccount", "false")),
         "profile_url": normalize_url("profile_address"),
         "avatar_thumb": normalize_url("thumb_address"),
         "avatar_medium": normalize_url("medium_address"),
@@ -82,13 +86,17 @@ def check_profiles(records: DataFrame, run_ts) -> DataFrame:
         "hashtags": f"transform({as_array('hashtags_raw')}, t -> {text('t')})",
     }
     addresses = {
-        "profile_address": text(field("record", "profile_url")),
-        "thumb_address": text(field("payload", "avatarThumb")),
-        "medium_address": text(field("payload", "avatarMedium")),
-        "large_address": text(field("payload", "avatarLarger")),
+        "profile_address": text("r.profile_url"),
+        "thumb_address": text("p.avatarThumb"),
+        "medium_address": text("p.avatarMedium"),
+        "large_address": text("p.avatarLarger"),
     }
     df = (
-        _with_payload(records, "raw_author_data")
+        _with_payload(
+            records, ["user_id", "username", "display_name", "profile_url", "follower_count", "following_count",
+                      "heart_count", "video_count", "found_under_hashtags"],
+            "raw_author_data", ["secUid", "signature", "verified", "privateAccount", "avatarThumb", "avatarMedium",
+                                "avatarLarger", *SETTINGS.values()])
         .selectExpr("*", *named(raw), *named(addresses))
         .selectExpr("*", *named(typed))
     )
@@ -132,16 +140,18 @@ def profile_tags(checked: DataFrame) -> DataFrame:
 UNUSABLE = "#"
 
 
-def tag_entries(items: str) -> str:
-    """A ``textExtra`` list (ARRAY<VARIANT>) as text entries: the lower-case tag, NULL for an entry to
-    pass over (no hashtag, or no name), ``UNUSABLE`` for one that breaks the rules."""
-    kind_of_type, name = kind(field("x", "type")), field("x", "hashtagName")
-    # 1, 1.0 and true all equal 1; the text "1" does not. Cheap tests and common cases come first.
-    is_tag = f"try_variant_get(x, '$.type', 'double') = 1 AND {kind_of_type} <> 'STRING'"
+def tag_entries(v: str) -> str:
+    """A ``textExtra`` value (VARIANT) as text entries: the lower-case tag, NULL for an entry to pass over
+    (no hashtag, or no name), ``UNUSABLE`` for one that breaks the rules. NULL if it is no list."""
+    # One native read of all entries; an entry that is no object reads as NULL.
+    items = scalar(v, "array<struct<type: variant, hashtagName: variant>>")
+    # 1, 1.0 and true all equal 1; the text "1" does not. A name that is null or no text is unusable.
     named_entries = f"""transform({items}, x -> CASE
-        WHEN {is_tag} THEN CASE {kind(name)} WHEN 'STRING' THEN lower(try_variant_get(x, '$.hashtagName', 'string'))
-            ELSE if({name} IS NULL, NULL, '{UNUSABLE}') END
-        WHEN NOT {is_object('x')} THEN '{UNUSABLE}' END)"""
+        WHEN x IS NULL THEN '{UNUSABLE}'
+        WHEN {kind('x.type')} <> 'STRING' AND {scalar('x.type', 'double')} = 1
+            THEN CASE WHEN x.hashtagName IS NULL THEN NULL
+                WHEN {kind('x.hashtagName')} = 'STRING' THEN lower({scalar('x.hashtagName', 'string')})
+                ELSE '{UNUSABLE}' END END)"""
     return f"""transform({named_entries}, t -> CASE WHEN t = '' THEN NULL
         WHEN t IS NULL OR {is_valid_tag('t')} THEN t ELSE '{UNUSABLE}' END)"""
 
@@ -156,9 +166,8 @@ def tag_list(entries: str, on_bad_hashtag: str = "cut") -> str:
     return f"coalesce({kept}, CAST(array() AS ARRAY<STRING>))"
 
 
-def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut") -> DataFrame:
-    """Post rows with their surviving ``hashtags`` and ``violations``."""
-    first, second = field("payload", "stats"), field("payload", "statsV2")
+def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut", with_hashtags: bool = True) -> DataFrame:
+    """Post rows with ``violations`` and, unless only the posts are wanted, their surviving ``hashtags``."""
     counts = {
         "view_count": "playCount",
         "like_count": "diggCount",
@@ -168,27 +177,28 @@ def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut") -> Data
     }
     typed = {
         "payload_ok": PAYLOAD_OK,
-        "post_id": _text("record", "post_id"),
-        "influencer_tiktok_id": _text("record", "user_id"),
-        "description": _text("payload", "desc"),
+        "post_id": _text("r.post_id"),
+        "influencer_tiktok_id": _text("r.user_id"),
+        "description": _text("p.desc"),
         "duration": lax_int("duration_raw"),
         **{name: counter(f"{name}_raw") for name in counts},
-        "is_ad": lax_bool(get_or_default("payload", "isAd", "false")),
-        "is_pinned": lax_bool(get_or_default("payload", "isPinnedItem", "false")),
+        "is_ad": lax_bool(default("p.isAd", "false")),
+        "is_pinned": lax_bool(default("p.isPinnedItem", "false")),
         "posted_at": epoch_to_timestamp("posted_raw", run_ts),
         "created_at": timestamp_literal(run_ts),
-        "hashtags": tag_list("entries", on_bad_hashtag),
+        **({"hashtags": tag_list("entries", on_bad_hashtag)} if with_hashtags else {}),
     }
     df = (
-        _with_payload(records, "raw_post_data")
+        _with_payload(records, ["post_id", "user_id"], "raw_post_data", [
+            "desc", "stats", "statsV2", "video", "isAd", "isPinnedItem", "createTime", "textExtra"])
         # The whole object falls back, never single fields.
-        .selectExpr("*", f"if({is_empty(first)}, {second}, {first}) AS stats")
+        .selectExpr("*", f"{fields(f"if({is_empty('p.stats')}, p.statsV2, p.stats)", list(counts.values()))} AS s")
         .selectExpr(
             "*",
-            f"{safe_get('payload', 'video.duration', str(DEFAULT_DURATION))} AS duration_raw",
-            f"{get_or_default('payload', 'createTime', '0')} AS posted_raw",
-            f"{tag_entries(list_at('payload', 'textExtra'))} AS entries",
-            *[f"{safe_get('stats', key, '0')} AS {name}_raw" for name, key in counts.items()],
+            f"{safe_get('p.video', 'duration', str(DEFAULT_DURATION))} AS duration_raw",
+            f"{default('p.createTime', '0')} AS posted_raw",
+            *([f"{tag_entries('p.textExtra')} AS entries"] if with_hashtags else []),
+            *[f"{unless_nothing(f's.{key}', '0')} AS {name}_raw" for name, key in counts.items()],
         )
         .selectExpr("*", *named(typed))
     )
@@ -203,7 +213,8 @@ def check_posts(records: DataFrame, run_ts, on_bad_hashtag: str = "cut") -> Data
         "is_pinned: boolean": present("is_pinned"),
         "posted_at: time": present("posted_at"),
     }
-    return with_violations(df, rules, "hashtags").select("record_pos", "record", *POST_COLUMNS, "hashtags", "violations")
+    lists = ["hashtags"] if with_hashtags else []
+    return with_violations(df, rules, *lists).select("record_pos", "record", *POST_COLUMNS, *lists, "violations")
 
 
 def posts(checked: DataFrame) -> DataFrame:
@@ -225,28 +236,28 @@ def check_comments(records: DataFrame, run_ts) -> DataFrame:
     """Comment rows with their ``reply_items`` and ``violations``."""
     typed = {
         "payload_ok": PAYLOAD_OK,
-        "share_ok": is_object("share"),
-        "comment_id": _text("record", "comment_id"),
-        "post_id": _text("record", "post_id"),
-        "influencer_tiktok_id": _text("record", "user_id"),
+        "share_ok": "share IS NOT NULL",
+        "comment_id": _text("r.comment_id"),
+        "post_id": _text("r.post_id"),
+        "influencer_tiktok_id": _text("r.user_id"),
         "create_time": epoch_to_timestamp("created_raw", run_ts),
-        "comment_text": _text("payload", "text"),
+        "comment_text": _text("p.text"),
         "digg_count": lax_int("digg_raw"),
         "reply_comment_total": lax_int("reply_total_raw"),
-        "share_title": _text("share", "title"),
-        "share_desc": _text("share", "desc"),
+        "share_title": _text("share.title"),
+        "share_desc": _text("share.desc"),
         # One object stands for a list of one.
-        "reply_items": f"if({is_object('replies')}, array(replies), {as_array('replies')})",
+        "reply_items": f"if({is_object('p.reply_comment')}, array(p.reply_comment), {as_array('p.reply_comment')})",
     }
     df = (
-        _with_payload(records, "raw_comment_data")
+        _with_payload(records, ["comment_id", "post_id", "user_id"], "raw_comment_data", [
+            "create_time", "text", "digg_count", "reply_comment_total", "share_info", "reply_comment"])
         .selectExpr(
             "*",
-            f"{get_or_default('payload', 'share_info', '{}')} AS share",
-            f"{field('payload', 'reply_comment')} AS replies",
-            f"{get_or_default('payload', 'create_time', '0')} AS created_raw",
-            f"{get_or_default('payload', 'digg_count', '0')} AS digg_raw",
-            f"{get_or_default('payload', 'reply_comment_total', '0')} AS reply_total_raw",
+            f"{fields(default('p.share_info', '{}'), ['title', 'desc'])} AS share",
+            f"{default('p.create_time', '0')} AS created_raw",
+            f"{default('p.digg_count', '0')} AS digg_raw",
+            f"{default('p.reply_comment_total', '0')} AS reply_total_raw",
         )
         .selectExpr("*", *named(typed))
     )
@@ -271,9 +282,9 @@ def check_replies(checked_comments: DataFrame) -> DataFrame:
     none, ends the list; a reply that only breaks a rule is rejected alone."""
     readable = f"transform(reply_items, r -> {is_object('r')} AND {is_object(get_or_default('r', 'user', '{}'))})"
     typed = {
-        "reply_comment_id": _text("record", "cid"),
-        "replier_id": _text("replier", "uid"),
-        "reply_text": _text("record", "text"),
+        "reply_comment_id": _text("r.cid"),
+        "replier_id": text(get_or_default(default("r.user", "{}"), "uid", EMPTY_TEXT)),
+        "reply_text": _text("r.text"),
         "digg_count": lax_int("digg_raw"),
         "label_text": text("label_raw"),
     }
@@ -288,10 +299,9 @@ def check_replies(checked_comments: DataFrame) -> DataFrame:
             "main_comment_id",
             "struct(comment_pos, reply_pos) AS record_pos",
             "record",
-            f"{get_or_default('record', 'user', '{}')} AS replier",
-            f"{get_or_default('record', 'digg_count', '0')} AS digg_raw",
-            f"{field('record', 'label_text')} AS label_raw",
+            f"{fields('record', ['cid', 'user', 'text', 'digg_count', 'label_text'])} AS r",
         )
+        .selectExpr("*", f"{default('r.digg_count', '0')} AS digg_raw", "r.label_text AS label_raw")
         .selectExpr("*", *named(typed))
     )
     rules = {

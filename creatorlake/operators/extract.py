@@ -8,7 +8,9 @@ from creatorlake.functions.bodies import reparse_text
 from creatorlake.functions.coerce import lax_bool, truncating_int
 from creatorlake.functions.sql import named
 from creatorlake.functions.tags import before_first_false, with_hash
-from creatorlake.functions.variants import field, get_or_default, is_empty, is_object, list_at, scalar
+from creatorlake.functions.variants import (
+    default, field, fields, get_or_default, is_empty, is_object, list_at, scalar,
+)
 from creatorlake.operators.quality import where_computed
 
 
@@ -25,8 +27,9 @@ def extract_authors(responses: DataFrame) -> DataFrame:
 
     A result that is no object ends its response; an author without an id or with an unusable
     number is left out alone."""
-    data = list_at("body", "data")
-    results = before_first_false(data, f"transform({data}, r -> {is_object('r')})")
+    responses = responses.withColumn("data", F.expr(list_at("body", "data"))).withColumn(
+        "results", F.expr(before_first_false("data", f"transform(data, r -> {is_object('r')})"))
+    )
     counts = {
         "follower_count": "followerCount",
         "following_count": "followingCount",
@@ -34,32 +37,27 @@ def extract_authors(responses: DataFrame) -> DataFrame:
         "video_count": "videoCount",
     }
     df = (
-        _items(responses, results, "ctx_hashtag")
-        .selectExpr("*", f"{field('result', 'item')} AS item")
-        .where(is_object("item"))
-        .selectExpr(
-            "*", f"{field('item', 'author')} AS author", f"{get_or_default('item', 'authorStats', '{}')} AS stats"
-        )
-        .where(f"{is_object('author')} AND {is_object('stats')}")
+        _items(responses, "results", "ctx_hashtag")
+        .selectExpr("*", f"{fields(field('result', 'item'), ['author', 'authorStats'])} AS item")
         .selectExpr(
             "*",
-            f"{field('author', 'id')} AS id",
-            *[f"{get_or_default('stats', key, '0')} AS {name}_raw" for name, key in counts.items()],
+            f"{fields('item.author', ['id', 'uniqueId', 'nickname', 'avatarMedium', 'verified'])} AS a",
+            f"{fields(default('item.authorStats', '{}'), list(counts.values()))} AS s",
         )
-        .where(f"NOT {is_empty('id')}")
+        .selectExpr("*", *[f"{default(f's.{key}', '0')} AS {name}_raw" for name, key in counts.items()])
     )
     typed = {
         "hashtag": with_hash("ctx_hashtag"),
-        "user_id": scalar("id", "string"),
-        "username": _plain("author", "uniqueId"),
-        "display_name": _plain("author", "nickname"),
-        "avatar_url": _plain("author", "avatarMedium"),
-        "verified": lax_bool(get_or_default("author", "verified", "false")),
-        **{name: truncating_int(f"{name}_raw") for name in counts},
-        "raw_author_data": "author",
+        "user_id": f"if({is_empty('a.id')}, NULL, {scalar('a.id', 'string')})",
+        "username": scalar(default("a.uniqueId", '""'), "string"),
+        "display_name": scalar(default("a.nickname", '""'), "string"),
+        "avatar_url": scalar(default("a.avatarMedium", '""'), "string"),
+        "verified": lax_bool(default("a.verified", "false")),
+        **{name: f"if(s IS NULL, NULL, {truncating_int(f'{name}_raw')})" for name in counts},
+        "raw_author_data": "item.author",
     }
     df = df.selectExpr("response_seq", "item_pos", *named(typed))
-    return where_computed(df, " AND ".join(f"{name} IS NOT NULL" for name in counts))
+    return where_computed(df, " AND ".join(f"{name} IS NOT NULL" for name in ["user_id", *counts]))
 
 
 def extract_posts(responses: DataFrame) -> DataFrame:

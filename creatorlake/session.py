@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Wide projections over VARIANT outgrow what HotSpot compiles; then use split projections instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from creatorlake.constants import LARGE_RESPONSE_BYTES
-from creatorlake.functions.bodies import decode_body, is_large_response
+from creatorlake.functions.bodies import first_of_list, is_large_response, parse_text
 from creatorlake.functions.sql import matches
 from creatorlake.schemas import RESPONSE
 
@@ -18,7 +18,9 @@ def read_responses(spark: SparkSession, path: str | list[str], fmt: str = "json"
 
 def decoded(responses: DataFrame) -> DataFrame:
     """Bodies as parsed JSON; text that does not parse stays text; failed captures stay NULL."""
-    return responses.withColumn("body", F.expr(decode_body("body", "is_base64")))
+    # Two projections, so that each body is parsed once although its parse is used twice.
+    parsed = responses.withColumn("body", F.expr(parse_text("body", "is_base64")))
+    return parsed.withColumn("body", F.expr(first_of_list("body")))
 
 
 def with_large_flag(responses: DataFrame) -> DataFrame:

@@ -170,12 +170,14 @@ def test_before_first_false(spark):
 def test_bodies(spark):
     import base64
 
-    plain = ['{"a":1}', "[]", '[{"a":2},{"a":3}]', "not json", '"text"']
-    got = evaluate(spark, plain, f"to_json({bodies.parse_body('x')})")
-    assert got == ['{"a":1}', "[]", '{"a":2}', '"not json"', '"text"']
-    coded = [base64.b64encode('{"a":"é"}'.encode()).decode()]
-    got = evaluate(spark, coded, f"to_json({bodies.parse_body(bodies.decode_text('x', 'true'))})")
-    assert got == ['{"a":"é"}']
+    from creatorlake.sources.responses import decoded
+
+    cases = [('{"a":1}', False, '{"a":1}'), ("[]", False, "[]"), ('[{"a":2},{"a":3}]', False, '{"a":2}'),
+             ("not json", False, '"not json"'), ('"text"', False, '"text"'), ("[null,1]", False, "null"),
+             (base64.b64encode('{"a":"é"}'.encode()).decode(), True, '{"a":"é"}'), (None, False, None)]
+    df = spark.createDataFrame([(i, b, f) for i, (b, f, _) in enumerate(cases)], "i int, b string, is_base64 boolean")
+    rows = decoded(df.selectExpr("i", "CAST(b AS VARIANT) AS body", "is_base64")).selectExpr("i", "to_json(body) AS r").collect()
+    assert [r.r for r in sorted(rows)] == [want for _, _, want in cases]
 
 
 def test_large_response(spark):
