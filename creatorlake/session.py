@@ -55,3 +55,17 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Spark's own estimate of what opening a file costs (spark.sql.files.openCostInBytes).
+SMALL_SPLIT_BYTES = 4 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan out over all cores when it is too small to make a task for each of them.
+
+    Parsing payloads costs far more than reading them, and a small file with one row group is one
+    task. Inputs with a few megabytes per core or more already make enough tasks and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SPLIT_BYTES else df
