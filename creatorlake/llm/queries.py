@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlake.llm import language_id
+from creatorlake.llm import language_id, simhash
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
 
@@ -16,3 +16,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(may_learn(F.col("doc_id"))))
     found = language_id.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
