@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z only; other letters keep their case."""
-    return F.translate(text, *LOWER)
+    """A-Z only; other letters keep their case. ``lower`` does the same, faster, where all bytes are ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, *LOWER))
 
 
 def held_out(doc_id: Column) -> Column:

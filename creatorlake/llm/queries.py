@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlake.llm import language_id, simhash
+from creatorlake.llm import decontaminate, language_id, oracles, secrets, simhash
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
 
@@ -23,3 +23,28 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query(oracles.DECONTAMINATION)
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), hit.alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@query(oracles.SECRETS)
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.update_ledger(docs, secrets.new_ledger_path(spark), first=True)
+    found = secrets.find(docs, ledger).select("doc_id", "spans")
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{rule[0]}") for k, rule in enumerate(secrets.RULES)]
+    listed = F.transform("spans", lambda s: F.concat_ws(":", secrets.kind_name(s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
+    found = found.select("doc_id", *counts, F.array_join(listed, ",").alias("spans"))
+    return found.withColumn("base_sha256", F.sha2("spans", 256))

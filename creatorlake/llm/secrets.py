@@ -1,0 +1,102 @@
+"""Secret scans over an incremental ledger of content-addressed texts, in DataFrame functions only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from creatorlake.session import new_staging_path
+
+#: Kind, pattern, group whose length counts, least length; in the order of the report. The patterns are
+#: fixed values. Hex and access runs are greedy, so their least length can stand in the pattern itself:
+#: a run is found from its start or not at all. That of an assignment can't: a short value still uses up its text.
+RULES = [
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"[0-9a-f]{16,}", 0, 16),
+]
+RULE_VERSION = "base-1"
+SPANS = "array<struct<start: int, kind: int, end: int>>"
+
+
+def _spans(order: int, pattern: str, group: int, least: int):
+    """Matches as (start, kind, end) in code points. Text between matches comes from a split at the same
+    pattern, so each match begins where the lengths so far end."""
+    text, p = F.col("text"), F.lit(pattern)
+    whole = F.regexp_extract_all(text, p, F.lit(0))
+    value = F.regexp_extract_all(text, p, F.lit(group))
+    sizes = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"),
+                         F.transform(value, F.length).alias("value"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(seen, m):
+        at = seen["at"] + m["gap"]
+        span = F.struct(at.alias("start"), F.lit(order).alias("kind"), (at + m["size"]).alias("end"))
+        return F.struct((at + F.coalesce(m["size"], F.lit(0))).alias("at"),
+                        F.when(m["value"] >= least, F.concat(seen["spans"], F.array(span))).otherwise(seen["spans"]).alias("spans"))
+
+    return F.when(text.rlike(pattern), F.aggregate(sizes, start, step, lambda s: s["spans"])).otherwise(F.array().cast(SPANS))
+
+
+def versions(paths: DataFrame) -> DataFrame:
+    """``paths`` with ``blob``, the SHA-256 of each text; a null text is an empty one."""
+    return paths.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def scan(blobs: DataFrame) -> DataFrame:
+    """Findings per blob and rule version: (blob, rule_version, spans by start, then kind)."""
+    found = F.concat(*[_spans(k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(RULES)])
+    return blobs.select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.sort_array(found).alias("spans"))
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    return spark.read.schema(f"blob string, rule_version string, spans {SPANS}").parquet(path)
+
+
+def update_ledger(paths: DataFrame, path: str, first: bool = False) -> DataFrame:
+    """Scan the blobs of ``paths`` that the ledger at ``path`` has not seen under this rule version, append
+    them, and return the ledger. ``first``: there is no ledger yet.
+
+    Copies combine before the shuffle, at most one text per blob and task, so no blob is hot."""
+    spark = paths.sparkSession
+    texts = versions(paths.select("text")).select("blob", F.coalesce("text", F.lit("")).alias("text"))
+    if not first:
+        seen = read_ledger(spark, path).where(F.col("rule_version") == RULE_VERSION).select("blob")
+        texts = texts.join(seen, "blob", "left_anti")
+    scan(texts.dropDuplicates(["blob"])).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def find(paths: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``paths`` with ``spans``, what the ledger has of each text: no spans is an empty list.
+
+    Null and empty texts have none; repeated rows and paths of the same blob each get their findings; an
+    existing column of that name is replaced. Only blobs with findings are joined; a hot
+    blob is on the many side of the join, which adaptive skew handling splits."""
+    known = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+    known = known.select(F.col("blob").alias("_known"), F.col("spans").alias("_spans"))
+    addressed = paths.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    joined = addressed.join(known, F.col("_blob") == F.col("_known"), "left")
+    return joined.withColumn("spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_blob", "_known", "_spans")
+
+
+def new_ledger_path(spark) -> str:
+    return new_staging_path(spark, "ledger")
+
+
+def kind_name(kind):
+    return F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), kind + 1)
+
+
+def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``found`` (from ``find``) with every span of its text replaced by ``mark``; overlapping spans merge."""
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+
+    def step(s, x):
+        # Text up to the span, then the mark, unless the span begins inside the one before.
+        inside = x["start"] < s["at"]
+        more = F.when(inside, F.lit("")).otherwise(F.concat(F.substr("text", s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["text"], more).alias("text"))
+
+    whole = F.aggregate("spans", state, step, lambda s: F.concat(s["text"], F.substr("text", s["at"] + 1)))
+    return found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
