@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlake.llm import decontaminate, language_id, oracles, secrets, simhash
+from creatorlake.llm import decontaminate, language_id, oracles, packing, secret_scans, simhash
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
 
@@ -38,13 +39,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query(oracles.SECRETS)
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = secrets.update_ledger(docs, secrets.new_ledger_path(spark), first=True)
-    found = secrets.find(docs, ledger).select("doc_id", "spans")
+    ledger = secret_scans.update_ledger(docs, secret_scans.new_ledger_path(spark), first=True)
+    found = secret_scans.find(docs, ledger).select("doc_id", "spans")
 
     def count(kind: int):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [count(k).alias(f"n_{rule[0]}") for k, rule in enumerate(secrets.RULES)]
-    listed = F.transform("spans", lambda s: F.concat_ws(":", secrets.kind_name(s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
+    counts = [count(k).alias(f"n_{rule[0]}") for k, rule in enumerate(secret_scans.RULES)]
+    listed = F.transform("spans", lambda s: F.concat_ws(":", secret_scans.kind_name(s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
     found = found.select("doc_id", *counts, F.array_join(listed, ",").alias("spans"))
     return found.withColumn("base_sha256", F.sha2("spans", 256))
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.plan(packing.tokens(docs, public_tokenizers.path("word_bpe_49k.json")))

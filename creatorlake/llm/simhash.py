@@ -155,6 +155,16 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return pairs.mapInArrow(compare, "a long, b long")
 
 
+def _named(marked: DataFrame, radius: int) -> DataFrame:
+    """Per fingerprint of ``marked``: (fingerprint, root, component_id)."""
+    nodes = stage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
+    stars = components(links(nodes, radius))
+    rooted = nodes.join(stars, F.col("fingerprint") == F.col("node"), "left")
+    rooted = rooted.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "first")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.drop("first").join(named, "root")
+
+
 def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over
     fingerprints ``radius`` or fewer bits apart.
@@ -163,11 +173,19 @@ def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
     repeated. Null doc_ids belong to a component but do not name it (null if it has no other).
     Texts without words share fingerprint 0 and link like any other. An empty table gives no rows."""
     marked = stage(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fingerprint"), "fingerprints")
-    nodes = stage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
-    stars = components(links(nodes, radius))
-    rooted = nodes.join(stars, F.col("fingerprint") == F.col("node"), "left")
-    rooted = rooted.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(named, "root").select("fingerprint", "component_id")
     # A hot fingerprint is split by adaptive skew handling: the other side has one row for it.
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marked.join(_named(marked, radius), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """One row of ``docs`` per component, all columns kept: the smallest doc_id, a null one only if there is no
+    other; among rows that share it, any one of the smallest fingerprint."""
+    marked = stage(fingerprints(docs, words).withColumnRenamed("fingerprint", "_fingerprint"), "fingerprints")
+    narrow = marked.select("doc_id", F.col("_fingerprint").alias("fingerprint"))
+    # Least first in ascending order of (id is null, id, fingerprint): one row per component, combined before the shuffle.
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fingerprint"))).alias("best")
+    rooted = narrow.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    kept = rooted.join(_named(narrow, radius).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(best)
+    kept = kept.select(F.col("best.doc_id").alias("_id"), F.col("best.fingerprint").alias("_kept"))
+    chosen = marked.join(kept, (F.col("_fingerprint") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return chosen.dropDuplicates(["_fingerprint", "doc_id"]).drop("_fingerprint")
