@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlake.llm import decontaminate, language_id, oracles, packing, secret_scans, simhash
+from creatorlake.llm import decontaminate, language_id, oracles, packing, quality, secret_scans, simhash, url_filter
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
 
@@ -55,3 +55,22 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.plan(packing.tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+#: The rules of the contract: host, path, action.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query(oracles.URLS)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(may_learn(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
