@@ -108,6 +108,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def forest(a: np.ndarray, b: np.ndarray, near: np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what ``near`` connects: at most one less than the nodes, whatever its density.
+    ``same``: both sides are one tile, and ``near`` is upper triangular."""
+    i, j = np.nonzero(near)
+    if len(i) <= len(a) + len(b):
+        return a[i], b[j]
+    left, right = [], []
+    seen_a, seen_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    if same:
+        near = near | near.T
+        seen_b = seen_a
+    for start in np.flatnonzero(near.any(1)):
+        if seen_a[start]:
+            continue
+        seen_a[start] = True
+        todo = [(True, start)]
+        while todo:
+            on_left, k = todo.pop()
+            row, seen = (near[k], seen_b) if on_left else (near[:, k], seen_a)
+            new = np.flatnonzero(row & ~seen)
+            if len(new):
+                seen[new] = True
+                left.append(np.full(len(new), a[k] if on_left else b[k]))
+                right.append((b if on_left else a)[new])
+                todo += [(not on_left or same, x) for x in new]
+    return np.concatenate(left), np.concatenate(right)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every linked node: rows (node, root), roots themselves left out.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlake.llm import decontaminate, language_id, oracles, packing, quality, secret_scans, simhash, url_filter
+from creatorlake.llm import decontaminate, language_id, oracles, packing, quality, secret_scans, simhash, url_filter, vectors
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
 
@@ -74,3 +74,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(may_learn(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")))
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creatorlake.llm.common import chunks, components, utf8, word_spans
+from creatorlake.llm.common import chunks, components, forest, utf8, word_spans
 from creatorlake.session import stage
 
 SEED = 42
@@ -80,40 +80,13 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.withColumn("fingerprint", fingerprint(F.col("text")))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span what ``near`` connects: at most one less than the nodes, whatever its density."""
-    i, j = np.nonzero(near)
-    if len(i) <= len(a) + len(b):
-        return a[i], b[j]
-    left, right = [], []
-    seen_a, seen_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    if same:
-        near = near | near.T
-        seen_b = seen_a
-    for start in np.flatnonzero(near.any(1)):
-        if seen_a[start]:
-            continue
-        seen_a[start] = True
-        todo = [(True, start)]
-        while todo:
-            on_left, k = todo.pop()
-            row, seen = (near[k], seen_b) if on_left else (near[:, k], seen_a)
-            new = np.flatnonzero(row & ~seen)
-            if len(new):
-                seen[new] = True
-                left.append(np.full(len(new), a[k] if on_left else b[k]))
-                right.append((b if on_left else a)[new])
-                todo += [(not on_left or same, x) for x in new]
-    return np.concatenate(left), np.concatenate(right)
-
-
 def _compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
     near = np.empty((len(a), len(b)), bool)
     for k in range(0, len(a), 256):
         np.less_equal(np.bitwise_count(a[k : k + 256, None] ^ b[None, :]), radius, out=near[k : k + 256])
     if same:
         near = np.triu(near, 1)
-    return _forest(a, b, near, same)
+    return forest(a, b, near, same)
 
 
 def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
