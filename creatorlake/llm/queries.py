@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlake.llm import decontaminate, language_id, oracles, packing, quality, secret_scans, simhash, url_filter, vectors
+from creatorlake.llm import decontaminate, language_id, oracles, packing, quality, resharding, secret_scans, simhash, url_filter, vectors
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
 
@@ -79,3 +79,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OLD_SHARDS, SHARDS = 32, 40
+
+
+@query()
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resharding.sized(table(spark, sf_dir, "documents"), OLD_SHARDS)
+    found = resharding.reshard(rows, [1.0] * SHARDS)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"), "old_shard")
