@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlake.llm import decontaminate, language_id, oracles, packing, quality, resharding, secret_scans, simhash, url_filter, vectors
+from creatorlake.llm import decontaminate, language_id, oracles, packing, quality, resharding, secret_scans, simhash, suffixes, url_filter, vectors
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
 
@@ -90,3 +90,17 @@ def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resharding.reshard(rows, [1.0] * SHARDS)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@query()
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"), passage=50)
+
+    def words(spans: str):
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select("doc_id", "n_words", words("spans").alias("n_repeated"), listed("spans").alias("spans"),
+                        words("removable").alias("n_removable"), listed("removable").alias("removable"))
