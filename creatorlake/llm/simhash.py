@@ -64,8 +64,8 @@ def _fingerprint_chunk(data: np.ndarray, offsets: np.ndarray, words: int, lanes:
     return (set_bits << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with ``fingerprint`` (a long) of their whole texts, a majority vote per bit over the XXH64 of
+def fingerprints(docs: DataFrame, words: int, name: str = "fingerprint") -> DataFrame:
+    """``docs`` with ``name`` (a long) of their whole texts, a majority vote per bit over the XXH64 of
     every shingle of ``words`` words, repeats included. Texts without words, null ones too, have 0."""
 
     @F.arrow_udf("long")
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                      for a, b in chunks(offsets)]
             yield pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
 
-    return docs.withColumn("fingerprint", fingerprint(F.col("text")))
+    return docs.withColumn(name, fingerprint(F.col("text")))
 
 
 def _compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
 def keep_one(docs: DataFrame, words: int, radius: int) -> DataFrame:
     """One row of ``docs`` per component, all columns kept: the smallest doc_id, a null one only if there is no
     other; among rows that share it, any one of the smallest fingerprint."""
-    marked = stage(fingerprints(docs, words).withColumnRenamed("fingerprint", "_fingerprint"), "fingerprints")
+    marked = stage(fingerprints(docs, words, "_fingerprint"), "fingerprints")
     narrow = marked.select("doc_id", F.col("_fingerprint").alias("fingerprint"))
     # Least first in ascending order of (id is null, id, fingerprint): one row per component, combined before the shuffle.
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fingerprint"))).alias("best")
