@@ -26,7 +26,7 @@ POSTS_SQL = """
         o_orderpriority AS description FROM orders
     UNION ALL SELECT o_orderkey, 2, CAST(o_custkey AS VARCHAR), CAST(o_orderkey // 2 AS VARCHAR), 'again' FROM orders"""
 
-LINES_SQL = f"SELECT *, row_number() OVER (ORDER BY {inputs.LINE_ORDER}, l_orderkey, l_linenumber) AS seq FROM lineitem"
+LINES_SQL = f"SELECT *, row_number() OVER (ORDER BY {inputs.LINE_ORDER}) AS seq FROM lineitem"
 
 COMMENTS_SQL = f"""
     SELECT seq, 0 AS item_pos, CAST(l_orderkey AS VARCHAR) AS post_id, l_orderkey || '-' || l_linenumber AS comment_id,

@@ -165,3 +165,14 @@ def reply_counts(spark, sf_dir):
     FROM conversations WHERE role = 'assistant'""")
 def quarantine_replies(spark, sf_dir):
     return _rejected(checked_replies(spark, sf_dir), "reply", "reply_comment_id")
+
+
+@query(f"""
+    SELECT influencer_tiktok_id, hashtag, count(*) AS frequency FROM (
+        SELECT source AS influencer_tiktok_id, tag AS hashtag FROM ({WORDS}) WHERE tag <> '' AND NOT ({BAD})
+        UNION ALL SELECT CAST(c_custkey AS VARCHAR), lower(c_mktsegment) FROM customer, range(2) WHERE {PROFILE_RULES} = '')
+    GROUP BY 1, 2""")
+def hashtag_frequency_skip(spark, sf_dir):
+    counts = cleaning.tag_counts(
+        cleaning.profile_tags(checked_profiles(spark, sf_dir)), cleaning.post_tags(checked_documents(spark, sf_dir, "skip")))
+    return cleaning.hashtag_frequency(counts)

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creatorlake.session import spread
+from creatorlake.constants import COMMENT_LIST_ENDPOINT, POST_LIST_ENDPOINT, SEARCH_ENDPOINT
+from creatorlake.session import dealt
 
 RUN_TS = "2025-01-01 00:00:00"
-SEARCH = "https://www.tiktok.com/api/search/general/full/?id="
-POST_LIST = "https://www.tiktok.com/api/post/item_list/?id="
-COMMENT_LIST = "https://www.tiktok.com/api/comment/list/?id="
+
+
+def _address(endpoint: str) -> str:
+    """A plain address that the pattern matches."""
+    return endpoint.replace("\\", "").removesuffix("[^ ]+") + "id="
+
+
+SEARCH, POST_LIST, COMMENT_LIST = map(_address, (SEARCH_ENDPOINT, POST_LIST_ENDPOINT, COMMENT_LIST_ENDPOINT))
 # Rows of lineitem have no key: their arrival order is the order of all their columns.
 LINE_ORDER = (
-    "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
+    "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, "
+    "l_orderkey, l_linenumber"
 )
 
 
@@ -21,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name))
+    return dealt(table(spark, sf_dir, name))
 
 
 # --- captured responses ---------------------------------------------------------------------------
@@ -138,7 +145,7 @@ def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as comments: negative likes (no discount) and text reply totals break rules."""
-    return _records(_payloads(spark, sf_dir, "lineitem"), f"struct(l_orderkey, l_linenumber, {LINE_ORDER})", """to_json(named_struct(
+    return _records(_payloads(spark, sf_dir, "lineitem"), f"struct({LINE_ORDER})", """to_json(named_struct(
         'comment_id', concat(l_orderkey, '-', l_linenumber), 'post_id', CAST(l_orderkey AS STRING),
         'user_id', CAST(l_suppkey AS STRING),
         'raw_comment_data', named_struct('create_time', unix_seconds(CAST(l_shipdate AS TIMESTAMP)),
@@ -235,8 +242,9 @@ def clean_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_tax > 0.02").selectExpr(
-        "concat(l_orderkey, '-', l_linenumber) AS main_comment_id",
+    """Lines as replies; those with little tax answer a comment that was never captured."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat(if(l_tax > 0.02, '', 'gone-'), l_orderkey, '-', l_linenumber) AS main_comment_id",
         "if(l_returnflag = 'A', 'Creator', 'fan') AS label_text",
     )
 

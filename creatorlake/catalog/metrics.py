@@ -58,9 +58,9 @@ def hashtag_consistency(spark, sf_dir):
 
 @query(f"""
     SELECT influencer_tiktok_id, tier, engagement_rate,
-        round(percent_rank() OVER (PARTITION BY tier ORDER BY engagement_rate), 6) AS tier_percentile
-    FROM (SELECT influencer_tiktok_id, {TIER} AS tier, engagement_rate FROM ({INFLUENCERS}) JOIN ({CREATORS}) USING (influencer_tiktok_id)
-        WHERE engagement_rate IS NOT NULL)""")
+        CASE WHEN engagement_rate IS NOT NULL THEN
+            round(percent_rank() OVER (PARTITION BY tier, engagement_rate IS NULL ORDER BY engagement_rate), 6) END AS tier_percentile
+    FROM (SELECT influencer_tiktok_id, {TIER} AS tier, engagement_rate FROM ({INFLUENCERS}) LEFT JOIN ({CREATORS}) USING (influencer_tiktok_id))""")
 def tier_percentile(spark, sf_dir):
     return metrics.tier_percentile(inputs.clean_influencers(spark, sf_dir), inputs.clean_posts(spark, sf_dir))
 
@@ -79,10 +79,10 @@ def content_category(spark, sf_dir):
         t AS (SELECT influencer_tiktok_id, count(*) AS comments, count(DISTINCT comment_text) AS texts FROM c GROUP BY 1),
         r AS (SELECT l_orderkey || '-' || l_linenumber AS comment_id, l_returnflag = 'A' AS mine FROM lineitem WHERE l_tax > 0.02),
         a AS (SELECT influencer_tiktok_id, count(*) AS replies, count(*) FILTER (mine) AS own
-            FROM (SELECT DISTINCT influencer_tiktok_id, comment_id FROM c) JOIN r USING (comment_id) GROUP BY 1)
+            FROM (SELECT comment_id, max(influencer_tiktok_id) AS influencer_tiktok_id FROM c GROUP BY 1) JOIN r USING (comment_id) GROUP BY 1)
     SELECT influencer_tiktok_id, round(CASE WHEN views > 0 THEN coalesce(comments, 0) / views END, 6) AS comments_per_view,
         round(texts / comments, 6) AS distinct_text_share, round(own / replies, 6) AS creator_reply_share
-    FROM ({CREATORS}) LEFT JOIN t USING (influencer_tiktok_id) LEFT JOIN a USING (influencer_tiktok_id)""")
+    FROM ({CREATORS}) FULL JOIN t USING (influencer_tiktok_id) LEFT JOIN a USING (influencer_tiktok_id)""")
 def audience_quality(spark, sf_dir):
     return metrics.audience_quality(
         inputs.clean_posts(spark, sf_dir), inputs.clean_comments(spark, sf_dir), inputs.clean_replies(spark, sf_dir))

@@ -15,6 +15,17 @@ LAST_LINES = f"""
         FROM ({captures.LINES_SQL})) WHERE rn = 1"""
 
 
+def _post_owners(spark, sf_dir):
+    """Every order as a post; those of status P have no known owner."""
+    return inputs.table(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS post_id", "if(o_orderstatus <> 'P', CAST(o_custkey AS STRING), NULL) AS user_id")
+
+
+def _users(spark, sf_dir, table, key, known, *columns):
+    """Every row of a table as a user; where ``known`` does not hold, one whose id nothing else has."""
+    return inputs.table(spark, sf_dir, table).selectExpr(f"concat(if({known}, '', 'unknown-'), {key}) AS user_id", *columns)
+
+
 def _merged_comments(spark, sf_dir):
     return relations.merge_comments(inputs.comments(spark, sf_dir))
 
@@ -57,8 +68,7 @@ def flat_profiles(spark, sf_dir):
 def flat_posts(spark, sf_dir):
     from creatorlake.sinks.files import csv_ready
 
-    owners = inputs.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").selectExpr(
-        "CAST(o_orderkey AS STRING) AS post_id", "CAST(o_custkey AS STRING) AS user_id")
+    owners = _post_owners(spark, sf_dir)
     return csv_ready(relations.flat_posts(inputs.posts(spark, sf_dir), owners))
 
 
@@ -70,10 +80,8 @@ def flat_posts(spark, sf_dir):
     FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P'
     LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING'""")
 def flat_comments(spark, sf_dir):
-    owners = inputs.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").selectExpr(
-        "CAST(o_orderkey AS STRING) AS post_id", "CAST(o_custkey AS STRING) AS user_id")
-    known = inputs.table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr(
-        "CAST(c_custkey AS STRING) AS user_id", "c_name AS username", "lower(c_name) AS display_name")
+    owners = _post_owners(spark, sf_dir)
+    known = _users(spark, sf_dir, "customer", "c_custkey", "c_mktsegment <> 'BUILDING'", "c_name AS username", "lower(c_name) AS display_name")
     df = relations.flat_comments(inputs.comments(spark, sf_dir), owners, known)
     return df.selectExpr("* EXCEPT (raw_comment_data)",
                          "try_variant_get(raw_comment_data, '$.digg_count', 'double') AS digg_count")
@@ -105,7 +113,7 @@ def todo_posts(spark, sf_dir):
     FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0
     WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def remaining_by_owner(spark, sf_dir):
-    known = inputs.table(spark, sf_dir, "customer").where("c_acctbal >= 0").selectExpr("CAST(c_custkey AS STRING) AS user_id")
+    known = _users(spark, sf_dir, "customer", "c_custkey", "c_acctbal >= 0")
     return relations.to_do_by_owner(todo_posts(spark, sf_dir), inputs.posts(spark, sf_dir), known)
 
 
@@ -131,8 +139,7 @@ def resume_after_search(spark, sf_dir):
         CAST(o_custkey AS VARCHAR) AS user_id
     FROM ({LAST_LINES}) JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'""")
 def comment_owner(spark, sf_dir):
-    owners = inputs.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").selectExpr(
-        "CAST(o_orderkey AS STRING) AS post_id", "CAST(o_custkey AS STRING) AS user_id")
+    owners = _post_owners(spark, sf_dir)
     return relations.comment_owner(_merged_comments(spark, sf_dir), owners)
 
 
@@ -140,7 +147,7 @@ def comment_owner(spark, sf_dir):
     SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, '#' || event_type AS hashtag
     FROM events JOIN customer ON c_custkey = user_id WHERE c_nationkey < 12""")
 def supplied_profiles(spark, sf_dir):
-    chosen = inputs.table(spark, sf_dir, "customer").where("c_nationkey < 12").selectExpr("CAST(c_custkey AS STRING) AS user_id")
+    chosen = _users(spark, sf_dir, "customer", "c_custkey", "c_nationkey < 12")
     return supplied.from_profiles(chosen, inputs.tag_edges(spark, sf_dir))[1]
 
 
@@ -148,6 +155,6 @@ def supplied_profiles(spark, sf_dir):
     SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS post_id, CAST(l_suppkey AS VARCHAR) AS user_id
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0""")
 def supplied_posts(spark, sf_dir):
-    known = inputs.table(spark, sf_dir, "supplier").where("s_acctbal > 0").selectExpr("CAST(s_suppkey AS STRING) AS user_id")
+    known = _users(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal > 0")
     mapping = inputs.comments(spark, sf_dir).select("post_id", "user_id")
     return supplied.from_posts(inputs.posts(spark, sf_dir), known, mapping)[1]

@@ -21,15 +21,15 @@ def _landed(spark, df, name):
     return spark.read.schema(df.schema).parquet(f"{path}/table")
 
 
-# The watermark has passed a window once its end is two hours or more before the newest event.
 @query("""
     SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, hashtag, count(*) AS uses
     FROM (SELECT date_trunc('hour', ts) AS window_start, event_type AS hashtag FROM events)
-    WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events)
     GROUP BY 1, 2, 3""")
 def stream_tag_counts(spark, sf_dir):
     tags = _event_stream(spark, sf_dir).selectExpr("event_time", "event_type AS hashtag")
-    df = _landed(spark, ingest.tag_count_stream(tags, "event_time", "2 hours", "1 hour"), "tag-counts")
+    closed = _landed(spark, ingest.tag_count_stream(tags, "event_time", "2 hours", "1 hour"), "tag-counts")
+    seen = inputs.table(spark, sf_dir, "events").selectExpr("CAST(ts AS TIMESTAMP) AS event_time", "event_type AS hashtag")
+    df = ingest.with_open_windows(closed, seen, "event_time", "1 hour")
     return df.selectExpr("CAST(window_start AS TIMESTAMP_NTZ) AS window_start", "CAST(window_end AS TIMESTAMP_NTZ) AS window_end",
                          "hashtag", "uses")
 
@@ -37,4 +37,5 @@ def stream_tag_counts(spark, sf_dir):
 @query("SELECT DISTINCT event_type AS hashtag, CAST(user_id AS VARCHAR) AS user_id FROM events")
 def stream_dedup(spark, sf_dir):
     edges = _event_stream(spark, sf_dir).selectExpr("event_time", "event_type AS hashtag", "CAST(user_id AS STRING) AS user_id")
-    return _landed(spark, ingest.dedup_stream(edges, ["hashtag", "user_id"], "event_time", "60 days"), "dedup").select("hashtag", "user_id")
+    landed = _landed(spark, ingest.dedup_stream(edges, ["hashtag", "user_id"], "event_time", "1 hour"), "dedup")
+    return ingest.distinct_on_read(landed, ["hashtag", "user_id"])

@@ -12,8 +12,6 @@ COMMENT_LIST_ENDPOINT = r"https://www\.tiktok\.com/api/comment/list/\?[^ ]+"
 PROFILES_PER_HASHTAG = 50
 POSTS_PER_PROFILE = 50
 COMMENTS_PER_POST = 100
-STANDALONE_PROFILES_PER_HASHTAG = 100
-STANDALONE_POSTS_PER_PROFILE = 700
 SNAPSHOTS_KEPT = 3
 LARGE_RESPONSE_BYTES = 1024 * 1024
 

@@ -20,3 +20,8 @@ def words(values: list[str]) -> str:
 def named(columns: dict[str, str]) -> list[str]:
     """``{name: expression}`` as select items."""
     return [f"{expression} AS {name}" for name, expression in columns.items()]
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"

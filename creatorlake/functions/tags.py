@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from creatorlake.constants import HASHTAG_MAX_LENGTH, HASHTAG_PATTERN
-from creatorlake.functions.sql import matches
+from creatorlake.functions.sql import let, matches
 
 
 def with_hash(tag: str) -> str:
@@ -21,6 +21,8 @@ def is_valid_tag(tag: str) -> str:
 
 
 def before_first_false(values: str, flags: str) -> str:
-    """The elements before the first one whose flag is false; one pass, no row explosion."""
-    cut = f"CAST(array_position({flags}, false) AS INT)"
-    return f"if({cut} > 0, slice({values}, 1, {cut} - 1), {values})"
+    """The elements before the first one whose flag is false; one pass, no row explosion, each argument evaluated once.
+
+    ``flags`` is written over ``held``, the name the values have inside."""
+    cut = let("cut", f"CAST(array_position({flags}, false) AS INT)", "if(cut > 0, slice(held, 1, cut - 1), held)")
+    return let("held", values, cut)

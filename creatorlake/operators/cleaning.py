@@ -280,7 +280,7 @@ def comments(checked: DataFrame) -> DataFrame:
 def check_replies(checked_comments: DataFrame) -> DataFrame:
     """Reply rows of valid comments with ``violations``. A reply that is no object, or whose user is
     none, ends the list; a reply that only breaks a rule is rejected alone."""
-    readable = f"transform(reply_items, r -> {is_object('r')} AND {is_object(get_or_default('r', 'user', '{}'))})"
+    readable = f"transform(held, r -> {is_object('r')} AND {is_object(get_or_default('r', 'user', '{}'))})"
     typed = {
         "reply_comment_id": _text("r.cid"),
         "replier_id": text(get_or_default(default("r.user", "{}"), "uid", EMPTY_TEXT)),
@@ -332,6 +332,5 @@ def tag_counts(profile_side: DataFrame, post_side: DataFrame) -> DataFrame:
 
 
 def hashtag_frequency(counts: DataFrame) -> DataFrame:
-    return counts.where(
-        f"length(influencer_tiktok_id) >= 1 AND {is_valid_tag('hashtag')} AND frequency >= 1"
-    ).select(*HASHTAG_FREQUENCY_COLUMNS)
+    # Valid profiles and posts have an id: testing a grouping key again would reach the scans and parse every record there.
+    return counts.where(f"{is_valid_tag('hashtag')} AND frequency >= 1").select(*HASHTAG_FREQUENCY_COLUMNS)

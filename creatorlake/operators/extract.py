@@ -27,9 +27,8 @@ def extract_authors(responses: DataFrame) -> DataFrame:
 
     A result that is no object ends its response; an author without an id or with an unusable
     number is left out alone."""
-    responses = responses.withColumn("data", F.expr(list_at("body", "data"))).withColumn(
-        "results", F.expr(before_first_false("data", f"transform(data, r -> {is_object('r')})"))
-    )
+    # Inside the generator, not as a column: Spark would test a column's size at the scan and parse each body for it.
+    results = before_first_false(list_at("body", "data"), f"transform(held, r -> {is_object('r')})")
     counts = {
         "follower_count": "followerCount",
         "following_count": "followingCount",
@@ -37,7 +36,7 @@ def extract_authors(responses: DataFrame) -> DataFrame:
         "video_count": "videoCount",
     }
     df = (
-        _items(responses, "results", "ctx_hashtag")
+        _items(responses, results, "ctx_hashtag")
         .selectExpr("*", f"{fields(field('result', 'item'), ['author', 'authorStats'])} AS item")
         .selectExpr(
             "*",

@@ -5,12 +5,11 @@ Every creator metric is reduced to one row per creator before any join."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from creatorlake.functions.sql import matches
 from creatorlake.operators.ranking import percent_rank_in_groups
+from creatorlake.session import stage
 
 # Lower bounds of the follower tiers.
 TIERS = [("nano", 0), ("micro", 10_000), ("mid", 50_000), ("macro", 500_000), ("mega", 1_000_000)]
@@ -70,11 +69,9 @@ def follower_tier(column: str = "follower_count", tiers=TIERS) -> str:
 
 
 def tier_percentile(influencers: DataFrame, posts: DataFrame, tiers=TIERS) -> DataFrame:
-    """Engagement compared with creators of similar size."""
-    rated = (
-        influencers.selectExpr("tiktok_id AS influencer_tiktok_id", f"{follower_tier(tiers=tiers)} AS tier")
-        .join(creator_engagement(posts), "influencer_tiktok_id")
-        .where("engagement_rate IS NOT NULL")
+    """Engagement compared with creators of similar size; NULL for creators without posts or views."""
+    rated = influencers.selectExpr("tiktok_id AS influencer_tiktok_id", f"{follower_tier(tiers=tiers)} AS tier").join(
+        creator_engagement(posts), "influencer_tiktok_id", "left"
     )
     ranked = percent_rank_in_groups(rated, "tier", "engagement_rate", 6, "tier_percentile")
     return ranked.selectExpr(
@@ -99,23 +96,22 @@ def content_category(frequency: DataFrame, dictionary: DataFrame) -> DataFrame:
 def audience_quality(posts: DataFrame, comments: DataFrame, replies: DataFrame) -> DataFrame:
     """Comments per view, share of distinct comment texts, share of replies labelled as the creator's.
 
-    Texts are compared by a 64-bit hash pair, so no comment text is shuffled whole."""
+    One row per creator with posts or comments, measures without a base NULL. Equal texts of a
+    creator merge map-side before the shuffle. A comment captured twice belongs to its last owner by name."""
     views = posts.groupBy("influencer_tiktok_id").agg(F.sum("view_count").alias("views"))
-    per_text = comments.selectExpr(
-        "influencer_tiktok_id", "xxhash64(comment_text) AS h1", "hash(comment_text) AS h2"
-    ).groupBy("influencer_tiktok_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    per_text = comments.groupBy("influencer_tiktok_id", "comment_text").agg(F.count(F.lit(1)).alias("n"))
     texts = per_text.groupBy("influencer_tiktok_id").agg(
-        F.sum("n").alias("comments"), F.count(F.lit(1)).alias("distinct_texts")
+        F.sum("n").alias("comments"), F.count("comment_text").alias("distinct_texts")
     )
     per_comment = replies.groupBy(F.col("main_comment_id").alias("comment_id")).agg(
         F.count(F.lit(1)).alias("replies"), F.count_if(F.lower("label_text") == "creator").alias("creator_replies")
     )
-    owners = comments.select("comment_id", "influencer_tiktok_id").dropDuplicates(["comment_id"])
+    owners = comments.groupBy("comment_id").agg(F.max("influencer_tiktok_id").alias("influencer_tiktok_id"))
     answered = owners.join(per_comment, "comment_id").groupBy("influencer_tiktok_id").agg(
         F.sum("replies").alias("replies"), F.sum("creator_replies").alias("creator_replies")
     )
     return (
-        views.join(texts, "influencer_tiktok_id", "left").join(answered, "influencer_tiktok_id", "left")
+        views.join(texts, "influencer_tiktok_id", "full").join(answered, "influencer_tiktok_id", "left")
         .selectExpr(
             "influencer_tiktok_id",
             "round(try_divide(coalesce(comments, 0), views), 6) AS comments_per_view",
@@ -126,11 +122,13 @@ def audience_quality(posts: DataFrame, comments: DataFrame, replies: DataFrame)
 
 
 def qualification_score(metrics: DataFrame, weights: dict[str, float], key: str = "influencer_tiktok_id") -> DataFrame:
-    """Weighted sum of the percent ranks of metric columns; a missing metric counts as rank 0."""
-    df = metrics.withColumn("everyone", F.lit(1))
-    for name in weights:
-        df = percent_rank_in_groups(df, "everyone", name, 6, f"{name}_rank")
-    score = reduce(
-        lambda a, b: a + b, [F.lit(float(w)) * F.coalesce(F.col(f"{n}_rank"), F.lit(0.0)) for n, w in weights.items()]
-    )
-    return df.select(key, F.round(score, 6).alias("score"))
+    """Weighted sum of the percent ranks of metric columns; a missing metric counts as rank 0.
+
+    Metrics become rows and are ranked once, the metric being the group: the plan is the same for any
+    number of weights. The rows are staged first, since ranking reads them more than once."""
+    cells = ", ".join(f"'{name}', CAST({name} AS DOUBLE)" for name in weights)
+    values = stage(metrics.selectExpr(key, f"stack({len(weights)}, {cells}) AS (metric, value)"), "metrics")
+    ranked = percent_rank_in_groups(values, "metric", "value", 6, "metric_rank")
+    # Added in the order of the weights, so that rounding does not depend on the order of rows.
+    terms = [f"{float(w)}D * coalesce(max(metric_rank) FILTER (WHERE metric = '{name}'), 0D)" for name, w in weights.items()]
+    return ranked.groupBy(key).agg(F.expr(f"round({' + '.join(terms)}, 6)").alias("score"))

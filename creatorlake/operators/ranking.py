@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A value is read as three digits of this many bits; no window ever sees more than 2^21 rows.
+# A value is read as three digits of this many bits: a window sees 2^21 rows at most, of high digits 2^22.
 DIGIT_BITS = 21
 
 
 def percent_rank_in_groups(df: DataFrame, group: str, value: str, decimals: int, name: str) -> DataFrame:
     """Add ``name`` = (rank - 1) / (rows - 1) of ``value`` within ``group``, rounded to ``decimals``
-    digits first; 0 for a group of one, NULL for a NULL value (which is not counted).
+    digits first; 0 for a group of one, NULL for a NULL value (which is not counted) and for one that
+    does not fit 64 bits once scaled.
 
     A plain ``percent_rank`` window would sort a whole group in one task. Here rows collapse to counts
     per (group, value) map-side, and the counts are summed up digit by digit, from the high digits to
     the low ones; every window spans one digit only. Results go back to the rows by an equi-join whose
     other side has unique keys."""
-    scaled = F.round(F.col(value) * 10**decimals).cast("bigint")
+    scaled = F.expr(f"try_cast(round({value} * {10**decimals}) AS BIGINT)")
     df = df.withColumn("scaled_value", scaled)
     counts = (
         df.where("scaled_value IS NOT NULL")

@@ -13,6 +13,7 @@ from creatorlake.constants import FLAT_COMMENT_COLUMNS, FLAT_POST_COLUMNS, FLAT_
 from creatorlake.functions.tags import with_hash
 from creatorlake.functions.urls import plain_profile_url
 from creatorlake.operators.dedup import POSITION, distinct_edges, keep_last, keep_last_at_first_position
+from creatorlake.session import stage
 
 # --- edges --------------------------------------------------------------------------------------
 
@@ -149,7 +150,9 @@ def to_do_by_owner(posts: DataFrame, post_owner: DataFrame, profiles: DataFrame)
 
 
 def resume_point(hashtags: DataFrame, profiles: DataFrame, posts: DataFrame) -> DataFrame:
-    """The open items of the first phase that has any; one ``complete`` row if none has."""
+    """The open items of the first phase that has any; one ``complete`` row if none has.
+
+    The open lists are staged: they are read for the first phase and again for its items."""
     spark = hashtags.sparkSession
     stages = [
         (1, "search", hashtags.select(F.col("hashtag").alias("item_id"))),
@@ -159,5 +162,6 @@ def resume_point(hashtags: DataFrame, profiles: DataFrame, posts: DataFrame) ->
     work = spark.sql("SELECT 4 AS phase_order, 'complete' AS phase, CAST(NULL AS STRING) AS item_id")
     for order, phase, df in stages:
         work = work.unionByName(df.select(F.lit(order).alias("phase_order"), F.lit(phase).alias("phase"), "item_id"))
+    work = stage(work, "open")
     first = work.agg(F.min("phase_order").alias("phase_order"))
     return work.join(F.broadcast(first), "phase_order").select("phase", "item_id")  # one row, always

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from creatorlake.functions.times import timestamp_literal
 
@@ -143,20 +143,32 @@ def failed_items(hashtags: DataFrame, ranked: DataFrame, profiles: DataFrame, pr
     )
 
 
-def export_metadata(tables: dict[str, DataFrame], run_ts, files_created: int) -> DataFrame:
-    """One row; ``files_created`` does not count the metadata itself."""
-    names = {"profiles": "profiles_count", "posts": "posts_count", "comments": "comments_count",
-             "profile_hashtag_relations": "relations_count"}
+EXPORTED = {"profiles": "profiles_count", "posts": "posts_count", "comments": "comments_count",
+            "profile_hashtag_relations": "relations_count"}
+
+
+def _described(counts: DataFrame, run_ts, files_created: int) -> DataFrame:
     ts = timestamp_literal(run_ts)
-    counts = [tables[k].agg(F.count(F.lit(1)).alias(c)) for k, c in names.items()]
-    return _side_by_side(*counts).selectExpr(
+    return counts.selectExpr(
         f"date_format({ts}, 'yyyy-MM-dd HH:mm:ss') AS export_timestamp",
         f"date_format({ts}, 'yyyy-MM-dd') AS export_date", f"date_format({ts}, 'HH:mm:ss') AS export_time",
         f"date_format({ts}, 'yyyyMMdd_HHmmss') AS file_version",
-        f"CAST({files_created} AS BIGINT) AS total_files_created", *names.values(),
+        f"CAST({files_created} AS BIGINT) AS total_files_created", *EXPORTED.values(),
     )
 
 
+def export_metadata(tables: dict[str, DataFrame], run_ts, files_created: int) -> DataFrame:
+    """One row; ``files_created`` does not count the metadata itself."""
+    counts = [tables[k].agg(F.count(F.lit(1)).alias(c)) for k, c in EXPORTED.items()]
+    return _described(_side_by_side(*counts), run_ts, files_created)
+
+
+def metadata_row(spark: SparkSession, counts: dict[str, int], run_ts, files_created: int) -> DataFrame:
+    """The same row from counts already known, such as those of a finished write."""
+    row = spark.range(1).select(*[F.lit(counts.get(k, 0)).cast("bigint").alias(c) for k, c in EXPORTED.items()])
+    return _described(row, run_ts, files_created)
+
+
 def summary_long(summary: DataFrame) -> DataFrame:
     """One-row summary to (category, metric, value): struct columns open one level under their own
     name, scalars go to ``general``, anything deeper stays as JSON text."""

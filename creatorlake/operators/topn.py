@@ -9,8 +9,8 @@ from creatorlake.constants import (
 )
 from creatorlake.operators.dedup import POSITION, keep_first
 
-# Spark trims groups before the shuffle only up to this N (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT_THRESHOLD = 1000
+# Spark trims groups before the shuffle only up to the N of this setting.
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
@@ -24,7 +24,7 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
 
     For large N, where Spark no longer trims before the shuffle, groups are first cut in salted
     parts: the top N of all parts together hold the top N of the group."""
-    if n > GROUP_LIMIT_THRESHOLD:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING)):
         spread = [c for c in df.columns if c not in keys and dict(df.dtypes)[c] != "variant"]
         salted = df.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
         df = _limit(salted, [*keys, "salt"], order, n).drop("rn", "salt")

@@ -54,7 +54,10 @@ def clean(
         (checked_comments, "comment", "comment_id"),
         (checked_replies, "reply", "reply_comment_id"),
     ]:
-        part = quarantine(df, entity, record_id).withColumn("record_pos", F.to_json("record_pos"))
+        # Positions differ in type: a number, or a struct of several.
+        nested = dict(df.dtypes)["record_pos"].startswith("struct")
+        pos = F.to_json("record_pos") if nested else F.col("record_pos").cast("string")
+        part = quarantine(df, entity, record_id).withColumn("record_pos", pos)
         rejected = part if rejected is None else rejected.unionByName(part)
     return CleanTables(
         influencers=c.influencers(checked_profiles),

@@ -37,9 +37,9 @@ class Collected:
             "profile_hashtag_relations": relations.relation_rows(self.hashtag_profile),
         }
 
-    def complete(self, requested: DataFrame) -> dict[str, DataFrame]:
-        """Entities, relations and failures as one set of tables."""
-        return {
+    def complete(self, requested: DataFrame, errors: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Entities, relations, failures and, if given, the error log as one set of tables."""
+        return ({} if errors is None else {"errors": errors}) | {
             "profiles": self.profiles, "posts": self.posts, "comments": self.comments,
             "hashtag_profile": self.hashtag_profile, "profile_post": self.profile_post,
             "post_owner": self.post_owner, "post_comment": self.post_comment,
@@ -51,10 +51,10 @@ class Collected:
             requested, self.ranked, self.profiles, self.profile_post, self.posts, self.post_comment
         )
 
-    def summary(self, requested: DataFrame) -> DataFrame:
+    def summary(self, requested: DataFrame, errors: DataFrame | None = None) -> DataFrame:
         return summaries.relationship_summary(
             requested, self.profiles, self.posts, self.comments, self.profile_post, self.post_comment,
-            self.failed(requested),
+            self.failed(requested), errors,
         )
 
 

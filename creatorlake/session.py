@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,14 @@ def build_session(app_name: str = "creatorlake", master: str | None = None, **co
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one in one-process local mode only.
+
+    Each run writes folders of its own names there and removes none: a later run may still read them, so
+    expiring them is left to the folder's owner (a lifecycle rule, or a sweep after the job)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="creatorlake-")
     spark.conf.set("spark.checkpoint.dir", root)
@@ -57,15 +61,12 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Spark's own estimate of what opening a file costs (spark.sql.files.openCostInBytes).
-SMALL_SPLIT_BYTES = 4 * 1024 * 1024
-
+# Names the partition count a caller wants small single-row-group inputs dealt out to; unset, scans stay as they are.
+INPUT_PARTITIONS = "spark.creatorlake.inputPartitions"
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share a scan out over all cores when it is too small to make a task for each of them.
 
-    Parsing payloads costs far more than reading them, and a small file with one row group is one
-    task. Inputs with a few megabytes per core or more already make enough tasks and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_SPLIT_BYTES else df
+def dealt(df: DataFrame) -> DataFrame:
+    """Parsing payloads costs far more than reading them, and a file with one row group is one task: the
+    caller may name a partition count for such inputs. Nothing looks at their size."""
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -1,10 +1,10 @@
-"""Writing tables. Empty tables write nothing; errors raise."""
+"""Writing tables. Empty tables leave nothing behind; errors raise."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from creatorlake.operators.summaries import export_metadata, summary_long
+from creatorlake.operators.summaries import metadata_row, summary_long
 
 
 def csv_ready(df: DataFrame, python_words: bool = False) -> DataFrame:
@@ -34,21 +34,35 @@ def write_tables(
     python_words: bool = False,
 ) -> dict[str, str]:
     """One folder per table and run, ``root/table/run_id=...``. Returns the folders written."""
+    return {name: path for name, (path, rows) in _write_counted(tables, root, run_id, fmt, mode, python_words).items() if rows}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write_counted(tables, root, run_id, fmt, mode, python_words=False) -> dict[str, tuple[str, int]]:
+    """Folder and row count per table. Each table is computed once: rows are counted as they are written, and
+    the folder of an empty one is removed again."""
     written = {}
     for name, df in tables.items():
-        if df.isEmpty():
-            continue
-        path = f"{root}/{name}/run_id={run_id}"
-        _writer(csv_ready(df, python_words) if fmt == "csv" else df, fmt, mode).save(path)
-        written[name] = path
+        path, seen = f"{root}/{name}/run_id={run_id}", Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        _writer(csv_ready(counted, python_words) if fmt == "csv" else counted, fmt, mode).save(path)
+        rows = seen.get["rows"]
+        if not rows:
+            _delete(df.sparkSession, path)
+        written[name] = (path, rows)
     return written
 
 
 def export_csv(flat: dict[str, DataFrame], summary: DataFrame, root: str, run_id: str, run_ts) -> dict[str, str]:
     """CSV export of the flat tables with their summary and a metadata row."""
-    written = write_tables(flat, root, run_id, "csv")
-    written |= write_tables({"summary": summary_long(summary)}, root, run_id, "csv")
-    metadata = export_metadata(flat, run_ts, len(written))
+    counted = _write_counted({**flat, "summary": summary_long(summary)}, root, run_id, "csv", "errorifexists")
+    written = {name: path for name, (path, rows) in counted.items() if rows}
+    counts = {name: rows for name, (_, rows) in counted.items() if name != "summary"}
+    metadata = metadata_row(summary.sparkSession, counts, run_ts, len(written))
     return written | write_tables({"metadata": metadata}, root, run_id, "csv")
 
 

@@ -70,14 +70,57 @@ def test_csv_and_empty_tables(spark, tmp_path):
 
 def test_snapshot_round_trip(spark, tmp_path):
     root = str(tmp_path / "snap")
-    assert snapshots.restore_latest(spark, root, ["profiles"], "profiles") is None
-    for run, raw in [("20250101", '{"a":1}'), ("20250102", '{"a":2}')]:
+    assert snapshots.restore_latest(spark, root) is None
+    for run, raw in [("0006", '{"a":1}'), ("0007", '{"a":2}')]:
         df = spark.sql("SELECT 'u' AS user_id").withColumn("raw", F.parse_json(F.lit(raw)))
-        snapshots.save_snapshot({"profiles": df}, root, run)
-    got = snapshots.restore_latest(spark, root, ["profiles"], "profiles")["profiles"]
-    assert [(r.user_id, r.raw) for r in got.selectExpr("user_id", "to_json(raw) AS raw").collect()] == [("u", '{"a":2}')]
-    states = snapshots.snapshot_states(spark, root, "profiles", 1)
-    assert {tuple(map(str, r)) for r in states.collect()} == {("20250102", "kept"), ("20250101", "expired")}
+        snapshots.save_snapshot({"profiles": df, "posts": df.where("false" if run == "0007" else "true")}, root, run)
+    got = snapshots.restore_latest(spark, root)
+    assert [(r.user_id, r.raw) for r in got["profiles"].selectExpr("user_id", "to_json(raw) AS raw").collect()] == [("u", '{"a":2}')]
+    assert got["posts"].count() == 0 and got["posts"].dtypes == got["profiles"].dtypes
+    states = snapshots.snapshot_states(spark, root, 1)
+    assert {tuple(r) for r in states.collect()} == {("0007", "kept"), ("0006", "expired")}
+
+
+def test_newest_snapshot_file(spark, tmp_path):
+    import os
+
+    for k, name in enumerate(["b.json", "a.json"]):
+        (tmp_path / name).write_text("{}")
+        os.utime(tmp_path / name, (1000 + k, 1000 + k))
+    newest = snapshots.newest_files(snapshots.list_files(spark, str(tmp_path))).collect()
+    assert [r.source_file.rsplit("/", 1)[1] for r in newest] == ["a.json"]
+
+
+def test_csv_export_counts_what_it_wrote(spark, tmp_path):
+    flat = {"profiles": spark.range(3), "posts": spark.range(0), "comments": spark.range(2), "profile_hashtag_relations": spark.range(1)}
+    written = files.export_csv(flat, spark.sql("SELECT 1 AS a"), str(tmp_path), "r1", "2025-01-01 00:00:00")
+    assert set(written) == {"profiles", "comments", "profile_hashtag_relations", "summary", "metadata"}
+    row = spark.read.csv(written["metadata"], header=True).first()
+    assert (row.profiles_count, row.posts_count, row.comments_count, row.relations_count, row.total_files_created) == ("3", "0", "2", "1", "4")
+
+
+def test_one_ranking_for_any_number_of_weights(spark):
+    from creatorlake.operators import metrics
+
+    df = spark.range(50).selectExpr("CAST(id AS STRING) AS influencer_tiktok_id", *[f"CAST(id * {k + 3} % 17 AS DOUBLE) AS m{k}" for k in range(6)])
+    plans = [plan_text(metrics.qualification_score(df, {f"m{k}": 1.0 for k in range(n)})) for n in (2, 6)]
+    assert plans[0].count("FileScan") == plans[1].count("FileScan")
+    assert not any("Cartesian" in p or "NestedLoop" in p for p in plans)
+    wide = spark.createDataFrame([("a", 1e300), ("b", None), ("c", 2.0)], "influencer_tiktok_id string, m double")
+    assert {r[0]: r[1] for r in metrics.qualification_score(wide, {"m": 1.0}).collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}
+
+
+def test_no_payload_is_parsed_beside_a_scan(spark, sf_dir):
+    """Filters that Spark infers or pushes down must not evaluate payloads a second time at the scan."""
+    import re
+
+    from creatorlake.catalog import QUERIES
+
+    for name in ("extract_authors", "extract_posts", "extract_comments", "first_author_per_hashtag", "last_author", "merged_profiles",
+                 "top_profiles_per_hashtag", "hashtag_frequency", "hashtag_frequency_skip", "search_summary", "clean_profiles"):
+        lines = plan_text(QUERIES[name](spark, sf_dir)).split("\n")
+        for above, line in zip(lines, lines[1:]):
+            assert not ("FileScan" in line and re.search("Filter.*(parse_?json|variant_get)", above, re.I)), (name, above[:200])
 
 
 def test_json_export_reads_back(spark, tmp_path):
