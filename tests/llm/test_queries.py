@@ -61,7 +61,7 @@ def test_vectors(spark):
     rows = [(k, rng.normal(size=6).tolist()) for k in range(300)]
     rows += [(300 + k, (np.array(rows[k % 7][1]) + 0.02 * rng.normal(size=6)).tolist()) for k in range(120)]
     rows += [(420 + k, rows[3][1]) for k in range(30)] + [(3, rows[3][1])]
-    rows += [(500, None), (501, [0.0] * 6), (502, [1.0, None, 0, 0, 0, 0]), (503, [float("nan")] * 6), (504, [float("inf")] + [0.0] * 5),
+    rows += [(500, None), (501, [0.0] * 6), (502, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (503, [float("nan")] * 6), (504, [float("inf")] + [0.0] * 5),
              (505, [1.0, 2.0]), (None, None), (506, [])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, node int, cell string")
     exact = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
