@@ -9,6 +9,8 @@ from creatorlake.llm.common import lower_ascii
 from creatorlake.session import stage
 
 SPAN, GRAM = 10, 5
+#: Windows that begin in one block of a text: what is exploded per window is a block, whatever the text's length.
+BLOCK = 256
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Benchmark windows up to which their table is broadcast: some 200 bytes each, so about 40 MB.
 BROADCAST_WINDOWS = 200_000
@@ -26,8 +28,10 @@ def _minima(span: int, gram: int) -> str:
         i -> array_min(slice(grams, i, {per_window}))), array())"""
 
 
-def _grams(length: int, least: int) -> str:
-    return f"""IF(n_words >= {least}, transform(sequence(1, n_words - {length - 1}), i -> xxhash64(slice(words, i, {length}))), array())"""
+def _grams(length: int, least: int, most: str | None = None) -> str:
+    stop = f"n_words - {length - 1}"
+    stop = f"least({most}, {stop})" if most else stop
+    return f"""IF(n_words >= {least}, transform(sequence(1, {stop}), i -> xxhash64(slice(words, i, {length}))), array())"""
 
 
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -52,38 +56,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
     Null and wordless texts have no words and no hits; wordless items match nothing; an item without an id
     marks words but is not listed. Repeated rows come back repeated: rows are told apart by their place.
-    One row per document carries its counts through the join, so texts are read once, and only
+    A text is cut into overlapping blocks before its windows are listed, so work is linear in its length.
+    One row per block carries the counts through the join, so texts are read once, and only
     counts and hits are shuffled; no group is larger than one document's windows."""
     windows = stage(benchmark_windows(benchmark, span, gram), "windows")
     lengths = sorted(r[0] for r in windows.where(F.col("length") < span).select("length").distinct().collect())
     keyed = docs.select("doc_id", "text").withColumns({"row": F.monotonically_increasing_id(), "text_hash": F.xxhash64("text")})
     worded = keyed.select("doc_id", "row", "text_hash", words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    # Blocks overlap by a window less one word, so that every window lies inside the block it begins in.
+    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_words") - 1), F.lit(BLOCK))
+    block = F.transform(blocks, lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, F.lit(BLOCK + span - 1)).alias("words")))
+    worded = worded.select("doc_id", "row", "text_hash", F.col("n_words").alias("doc_words"), F.explode(block).alias("block"))
+    worded = worded.select("doc_id", "row", "text_hash", "doc_words", "block.at", "block.words", F.size("block.words").alias("n_words"))
     worded = worded.withColumn("grams", F.expr(_grams(gram, span)))
-    parts = [F.expr(_minima(span, gram))] + [F.expr(_grams(n, n)) for n in lengths]
+    parts = [F.expr(_minima(span, gram))] + [F.expr(_grams(n, n, str(BLOCK))) for n in lengths]
     # The last entry, without a fingerprint, stands for the document itself.
-    worded = worded.select("doc_id", "row", "text_hash", "n_words", "words",
+    worded = worded.select("doc_id", "row", "text_hash", "doc_words", "at", "n_words", "words",
                            F.posexplode(F.concat(*parts, F.array(F.lit(None).cast("long")))).alias("pos", "fingerprint"))
     start, length, offset = F.lit(None), F.lit(None), F.lit(0)
     bounds = []
     for n in [span, *lengths]:
-        count = F.greatest(F.col("n_words") - (n - 1), F.lit(0))
+        count = F.least(F.lit(BLOCK), F.greatest(F.col("n_words") - (n - 1), F.lit(0)))
         bounds.append((offset, offset + count, n))
         offset = offset + count
     for low, high, n in reversed(bounds):
         start = F.when(F.col("pos") < high, F.col("pos") - low).otherwise(start)
         length = F.when(F.col("pos") < high, F.lit(n)).otherwise(length)
-    entries = worded.withColumns({"start": start.cast("int"), "span": length.cast("int")})
+    entries = worded.withColumns({"inside": start.cast("int"), "span": length.cast("int")})
+    entries = entries.withColumn("start", F.col("at") + F.col("inside"))
     side = windows.select(F.col("fingerprint").alias("f"), "length", "win", "item_id", F.lit(True).alias("hit"))
     if windows.count() <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
+        here = "slice(words, inside + 1, span)"
     else:
-        entries = entries.withColumn("words", F.expr("slice(words, start + 1, span)")).withColumn("at", F.lit(0))
-    here = "slice(words, start + 1, span)" if "at" not in entries.columns else "words"
+        entries = entries.withColumn("words", F.expr("slice(words, inside + 1, span)"))
+        here = "words"
     # As a pair of inequalities the word check is no join key, and is evaluated for equal fingerprints only.
     same = F.expr(f"fingerprint = f AND span = length AND {here} <= win AND {here} >= win")
     found = entries.join(side, same, "left").where("hit OR fingerprint IS NULL")
     found = found.groupBy("row", "doc_id", "text_hash").agg(
-        F.max("n_words").alias("n_words"),
+        F.max("doc_words").alias("n_words"),
         F.collect_set(F.when(F.col("hit"), F.struct(F.col("start"), (F.col("start") + F.col("span")).alias("end")))).alias("windows"),
         F.collect_set("item_id").alias("items"))
     spans = F.expr("""aggregate(sort_array(windows), CAST(array() AS array<struct<start: int, end: int>>), (a, w) ->

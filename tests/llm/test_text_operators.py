@@ -128,7 +128,7 @@ def test_code_lengths_are_exact():
         assert bits == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
-def test_decontamination(spark, documents, nothing):
+def test_decontamination(spark, documents, nothing, monkeypatch):
     rows = documents.collect()
     long = next(r["text"] for r in rows if r["doc_id"] == 91)
     bench = [(1, long[40:400]), (2, "no id here"), (3, None), (4, "?"), (None, rows[5]["text"]), (5, "ab"), (5, "Ab"), (6, "word word word")]
@@ -148,10 +148,10 @@ def test_decontamination(spark, documents, nothing):
                     hit |= set(range(k, k + n))
                     items |= windows[tuple(w[k : k + n])]
         want[(r["doc_id"], len(w), len(hit), tuple(sorted(x for x in items if x is not None)))] += 1
-    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
-        decontaminate.BROADCAST_WINDOWS, kept = limit, decontaminate.BROADCAST_WINDOWS
+    for limit, block in ((decontaminate.BROADCAST_WINDOWS, decontaminate.BLOCK), (0, decontaminate.BLOCK), (decontaminate.BROADCAST_WINDOWS, 7), (0, 3)):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
         found = decontaminate.contamination(documents, benchmark).collect()
-        decontaminate.BROADCAST_WINDOWS = kept
         got = collections.Counter((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), tuple(sorted(r["items"]))) for r in found)
         assert got == want
     clean = decontaminate.clean(documents, benchmark)
