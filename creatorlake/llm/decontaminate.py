@@ -51,7 +51,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
     Winnowing: a window's fingerprint is the least hash of its ``gram``-word stretches. Equal windows have
     equal fingerprints, so every shared span of ``span`` words or more gives a match; the words of
-    matched windows are then compared, and overlapping windows grow into one stretch. Items shorter
+    matched windows are then compared, and overlapping or touching windows grow into one stretch. Items shorter
     than a window are matched whole, by a hash of all their words.
 
     Null and wordless texts have no words and no hits; wordless items match nothing; an item without an id
@@ -98,10 +98,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
         F.max("doc_words").alias("n_words"),
         F.collect_set(F.when(F.col("hit"), F.struct(F.col("start"), (F.col("start") + F.col("span")).alias("end")))).alias("windows"),
         F.collect_set("item_id").alias("items"))
-    spans = F.expr("""aggregate(sort_array(windows), CAST(array() AS array<struct<start: int, end: int>>), (a, w) ->
-        IF(size(a) > 0 AND try_element_at(a, -1).end >= w.start,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('start', try_element_at(a, -1).start, 'end', w.end))),
-           concat(a, array(w))))""")
+    # Windows of unlike lengths nest, so stretches are read from the hit words, not from the windows.
+    hit = F.sort_array(F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["start"], w["end"] - 1)))))
+    spans = F.transform(F.array(hit), lambda at: F.arrays_zip(
+        F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) < x - 1)),
+        F.transform(F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) > x + 1, F.lit(True))), lambda x: x + 1)))
+    spans = F.get(spans, 0).cast("array<struct<start: int, end: int>>")
     return found.select("doc_id", "text_hash", "n_words", spans.alias("spans"), "items")
 
 

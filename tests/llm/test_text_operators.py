@@ -131,7 +131,8 @@ def test_code_lengths_are_exact():
 def test_decontamination(spark, documents, nothing, monkeypatch):
     rows = documents.collect()
     long = next(r["text"] for r in rows if r["doc_id"] == 91)
-    bench = [(1, long[40:400]), (2, "no id here"), (3, None), (4, "?"), (None, rows[5]["text"]), (5, "ab"), (5, "Ab"), (6, "word word word")]
+    bench = [(1, long[40:400]), (2, "no id here"), (3, None), (4, "?"), (None, rows[5]["text"]), (5, "ab"), (5, "Ab"), (6, "word word word"),
+             (7, " ".join(WORD.findall(long)[3:6])), (8, " ".join(WORD.findall(long)[30:33]))]
     benchmark = spark.createDataFrame(bench, "item_id long, text string")
     windows = collections.defaultdict(set)
     for i, t in bench:
@@ -170,7 +171,8 @@ def secret_spans(text):
 
 
 def test_secrets(spark, documents, nothing):
-    extra = [(1, "é😀 token='" + "x" * 11 + "' secret=" + "y" * 12 + " AKIAAKIA" + "Z" * 9), (2, "passwd:a token: secret: 'abcdefghijklmn'"), (3, "f" * 15 + " " + "0a" * 9 + "g")]
+    many = " ".join("0123456789abcdef%x secret=%s" % (k, "é" if k % 3 else "z" * 12) for k in range(700))
+    extra = [(4, many), (1, "é😀 token='" + "x" * 11 + "' secret=" + "y" * 12 + " AKIAAKIA" + "Z" * 9), (2, "passwd:a token: secret: 'abcdefghijklmn'"), (3, "f" * 15 + " " + "0a" * 9 + "g")]
     docs = documents.select("doc_id", "text", F.lit("clash").alias("spans")).union(
         spark.createDataFrame([(*r, "clash") for r in extra], "doc_id long, text string, spans string"))
     path = secret_scans.new_ledger_path(spark)
@@ -182,7 +184,7 @@ def test_secrets(spark, documents, nothing):
         assert [(secret_scans.RULES[s["kind"]][0], s["start"], s["end"]) for s in r["spans"]] == secret_spans(r["text"])
     # A second pass scans only what is new.
     before = ledger.count()
-    again = spark.createDataFrame([(9, "password=newnewnewnew1"), (10, extra[1][1])], "doc_id long, text string")
+    again = spark.createDataFrame([(9, "password=newnewnewnew1"), (10, extra[2][1])], "doc_id long, text string")
     assert secret_scans.update_ledger(again, path).count() == before + 1
     for r in secret_scans.redact(found).collect():
         assert not r["spans"] or "[secret]" in r["text"]
