@@ -17,6 +17,13 @@ RULES = [
 ]
 RULE_VERSION = "base-1"
 SPANS = "array<struct<start: int, kind: int, end: int>>"
+#: Matches of a text handled as one list: what a step appends to stays short however many a text has.
+BLOCK = 256
+
+
+def _blocks(items):
+    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK))
+    return F.transform(starts, lambda at: F.slice(items, at + 1, F.lit(BLOCK)))
 
 
 def _spans(order: int, pattern: str, group: int, least: int):
@@ -27,7 +34,7 @@ def _spans(order: int, pattern: str, group: int, least: int):
     value = F.regexp_extract_all(text, p, F.lit(group))
     sizes = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"),
                          F.transform(value, F.length).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    none = F.array().cast(SPANS)
 
     def step(seen, m):
         at = seen["at"] + m["gap"]
@@ -35,7 +42,14 @@ def _spans(order: int, pattern: str, group: int, least: int):
         return F.struct((at + F.coalesce(m["size"], F.lit(0))).alias("at"),
                         F.when(m["value"] >= least, F.concat(seen["spans"], F.array(span))).otherwise(seen["spans"]).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(sizes, start, step, lambda s: s["spans"])).otherwise(F.array().cast(SPANS))
+    def block_step(seen, block):
+        start = F.struct(seen["at"].alias("at"), none.alias("spans"))
+        return F.aggregate(block, start, step, lambda s: F.struct(s["at"].alias("at"), F.concat(seen["spans"], s["spans"]).alias("spans")))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    # As an element of a list the matches are found once, then cut.
+    found = F.transform(F.array(sizes), lambda m: F.aggregate(_blocks(m), start, block_step, lambda s: s["spans"]))
+    return F.when(text.rlike(pattern), F.get(found, 0)).otherwise(none)
 
 
 def versions(paths: DataFrame) -> DataFrame:
@@ -92,11 +106,19 @@ def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``found`` (from ``find``) with every span of its text replaced by ``mark``; overlapping spans merge."""
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def step(s, x):
-        # Text up to the span, then the mark, unless the span begins inside the one before.
-        inside = x["start"] < s["at"]
-        more = F.when(inside, F.lit("")).otherwise(F.concat(F.substr("text", s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["text"], more).alias("text"))
+    def block_step(seen, block):
+        base = seen["at"]
+        # The stretch of the text that the block's spans lie in: each span is then cut from little text.
+        stop = F.greatest(base, F.array_max(F.transform(block, lambda x: x["end"])))
+        start = F.struct(base.alias("at"), F.substr("text", base + 1, stop - base).alias("part"), F.lit("").alias("text"))
+
+        def step(s, x):
+            # Text up to the span, then the mark, unless the span begins inside the one before.
+            inside = x["start"] < s["at"]
+            more = F.when(inside, F.lit("")).otherwise(F.concat(F.substr(s["part"], s["at"] - base + 1, x["start"] - s["at"]), F.lit(mark)))
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["part"].alias("part"), F.concat(s["text"], more).alias("text"))
+
+        return F.aggregate(block, start, step, lambda s: F.struct(s["at"].alias("at"), F.concat(seen["text"], s["text"]).alias("text")))
 
-    whole = F.aggregate("spans", state, step, lambda s: F.concat(s["text"], F.substr("text", s["at"] + 1)))
+    whole = F.aggregate(_blocks(F.col("spans")), state, block_step, lambda s: F.concat(s["text"], F.substr("text", s["at"] + 1)))
     return found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
