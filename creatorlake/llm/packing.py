@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,21 +128,21 @@ def plan(tokenized: DataFrame, length: int = LENGTH, group_documents: int = GROU
     rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "crcs", "copy", F.lit(seed)), F.lit(groups)))
     narrow = rows.select("group", "doc_id", "doc_tokens", "crcs", "copy")
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "doc_tokens", "copy"], kind="stable", ignore_index=True)
-        rest = frame["doc_tokens"] % length
-        whole = frame["doc_tokens"] // length
-        some = rest.to_numpy().nonzero()[0]
-        placed = first_fit_decreasing(rest.iloc[some].tolist(), length)
+    def pack(frame: pa.Table) -> pa.Table:
+        frame = frame.sort_by([(k, "ascending") for k in ("doc_id", "doc_tokens", "copy")])
+        count = frame["doc_tokens"].to_numpy()
+        rest, whole = count % length, count // length
+        some = np.flatnonzero(rest)
+        placed = first_fit_decreasing(rest[some].tolist(), length)
+        place = np.zeros((len(count), 2), np.int64)
+        place[some] = np.array(placed, np.int64).reshape(-1, 2)
         used = 1 + max((b for b, _ in placed), default=-1)
-        frame["bin"], frame["at"] = 0, 0
-        frame.loc[some, "bin"] = [b for b, _ in placed]
-        frame.loc[some, "at"] = [o for _, o in placed]
-        frame["first_whole"] = used + whole.cumsum() - whole
+        for name, values in (("bin", place[:, 0]), ("at", place[:, 1]), ("first_whole", used + np.cumsum(whole) - whole)):
+            frame = frame.append_column(name, pa.array(values))
         return frame
 
     schema = "group long, doc_id long, doc_tokens long, crcs array<long>, copy long, bin long, at long, first_whole long"
-    packed = narrow.groupBy("group").applyInPandas(pack, schema)
+    packed = narrow.groupBy("group").applyInArrow(pack, schema)
     pieces = packed.select("*", F.posexplode("crcs").alias("piece", "ids_crc32"))
     start = F.col("piece").cast("long") * length
     size = F.least(F.lit(length), F.col("doc_tokens") - start)
