@@ -57,6 +57,8 @@ def _codebook(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    # Scaled by a power of two first, which is exact, so that squares of large or small components stay in range.
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1])
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
