@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlake.llm import decontaminate, language_id, oracles, packing, quality, resharding, secret_scans, simhash, suffixes, url_filter, vectors
+from creatorlake.llm import (
+    decontaminate, language_id, oracles, packing, periodic, quality, resharding, secret_scans, simhash, suffixes, url_filter, vectors,
+)
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
 
@@ -104,3 +106,32 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("doc_id", "n_words", words("spans").alias("n_repeated"), listed("spans").alias("spans"),
                         words("removable").alias("n_removable"), listed("removable").alias("removable"))
+
+
+def _cycled(doc_id, text):
+    """The contract's texts: of one document in ten the words from the a-th on repeat the p words there."""
+    held = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", -1)
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def cycle(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = F.sequence(F.lit(0).cast("long"), n - 1)
+        return F.array_join(F.transform(at, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    # As an element of a list the words are split once.
+    cycled = F.get(F.transform(F.array(held), cycle), 0)
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), cycled).otherwise(text)
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.runs(docs.select("doc_id", _cycled(F.col("doc_id"), F.col("text")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n")))
+    found = found.select("doc_id", "runs", "collapsed", periodic.best().alias("best"), F.array_join(lines, "").alias("lines"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
