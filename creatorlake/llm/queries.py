@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from creatorlake.llm import (
     decontaminate, language_id, oracles, packing, periodic, quality, resharding, secret_scans, simhash, suffixes, url_filter, vectors,
+    whitening,
 )
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
@@ -135,3 +136,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
                         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
