@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creatorlake.llm import (
-    decontaminate, language_id, oracles, packing, periodic, quality, resharding, secret_scans, simhash, suffixes, url_filter, vectors,
-    whitening,
+    decontaminate, html_text, language_id, oracles, packing, periodic, quality, resharding, secret_scans, simhash, suffixes, url_filter,
+    vectors, whitening,
 )
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
@@ -142,3 +142,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
     return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query()
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars", "n_blocks")
