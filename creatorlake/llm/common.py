@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from creatorlake.session import stage
 
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = min(end, n)
 
 
+def slices(offsets: np.ndarray, lap: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Like ``chunks``, but longer rows are cut: (first row, last row, offsets within the data). Each further cut of a row
+    begins ``lap`` bytes before the last one's end."""
+    for first, last in chunks(offsets, limit):
+        start, end = int(offsets[first]), int(offsets[last])
+        if end - start <= limit + lap:
+            yield first, last, offsets[first : last + 1]
+            continue
+        for at in range(start, max(end - lap, start + 1), limit):
+            yield first, last, np.array([at, min(at + limit + lap, end)])
+
+
 def per_row(rows: int, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over each row's stretch, which begins at ``starts`` and may be empty."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])

@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from creatorlake.llm.common import chunks, per_row, utf8
+from creatorlake.llm.common import slices, utf8
 
 ORDER = 3
 PAD = " " * ORDER
@@ -47,11 +46,11 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for first, last in chunks(offsets):
+            for first, last, at in slices(offsets, ORDER):
                 for lang in sorted(set(langs[first:last])):
                     grams = []
-                    for row in np.flatnonzero(langs[first:last] == lang) + first:
-                        s = fold[data[offsets[row] : offsets[row + 1]]].astype(np.int64)
+                    for row in np.flatnonzero(langs[first:last] == lang):
+                        s = fold[data[at[row] : at[row + 1]]].astype(np.int64)
                         grams.append((s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:])
                     gram, n = np.unique(np.concatenate(grams), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(gram), "gram": gram, "n": n})
@@ -87,12 +86,11 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """Learn from the whole texts of ``docs_per_language`` documents of each non-null ``lang``."""
+    """Learn from the whole texts of ``docs_per_language`` documents of each non-null ``lang``. An id that several rows of
+    a language share teaches the least of their texts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(doc_id).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(doc_id), F.col(doc_id)))
-    chosen = known.select(doc_id, "lang").withColumn("rank", rank).where(F.col("rank") <= docs_per_language)
-    ids = [r[0] for r in chosen.select(doc_id).distinct().collect()]
-    found = ngram_counts(known.where(F.col(doc_id).isin(ids))).toPandas()
+    chosen = known.join(F.broadcast(_chosen(known, doc_id, docs_per_language)), [doc_id, "lang"])
+    found = ngram_counts(chosen.groupBy(doc_id, "lang").agg(F.min("text").alias("text"))).toPandas()
     languages = sorted(set(found["lang"]))
     if not languages:
         return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
@@ -100,17 +98,38 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", docs_per_language: int = DOCS_P
     return build(languages, lang, found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
 
 
+def _chosen(known: DataFrame, doc_id: str, per_language: int) -> DataFrame:
+    """The ids with the smallest hashes of each language, as many as the bound. Only ids below a share of all hashes leave
+    their task: some four times the bound. Where repeated ids leave too few, the share grows."""
+    share = F.xxhash64(doc_id) / float(1 << 64) + 0.5
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    wanted, found, times = dict(counts), [], 4
+    while wanted:
+        below = F.create_map(*[F.lit(x) for lang, n in wanted.items() for x in (lang, min(1.0, times * per_language / n))])
+        rows = known.where(share < F.try_element_at(below, F.col("lang")))
+        got: dict = {}
+        for lang, one, _ in sorted(rows.select("lang", doc_id, share).distinct().collect(), key=lambda r: (r[2], str(r[1]))):
+            got.setdefault(lang, []).append(one)
+        for lang in [k for k, n in wanted.items() if len(got.get(k, [])) >= per_language or times * per_language >= n]:
+            found += [(one, lang) for one in got.get(lang, [])[:per_language]]
+            del wanted[lang]
+        times *= 8
+    return known.sparkSession.createDataFrame(found, known.select(doc_id, "lang").schema)
+
+
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each row under each language; every row begins with ORDER pad bytes, which cost nothing."""
-    s = model.symbols[data]
+    s = model.symbols[data].astype(np.int32)
     m = round(len(model.rows) ** (1 / ORDER))
     context = (s[:-3] * m + s[1:-2]) * m + s[2:-1]
     at = model.rows[context].astype(np.int64) * m + s[3:]
-    bits = np.zeros((len(s), len(model.languages)), np.float32)
-    bits[3:] = model.bits[at]
-    for k in range(ORDER):
-        bits[offsets[:-1] + k] = 0
-    return per_row(len(offsets) - 1, offsets[:-1], bits)
+    out = np.empty((len(offsets) - 1, len(model.languages)))
+    for k in range(len(model.languages)):
+        bits = np.concatenate([np.zeros(ORDER, np.float32), model.bits[at, k]])
+        for j in range(ORDER):
+            bits[offsets[:-1] + j] = 0
+        out[:, k] = np.add.reduceat(bits, offsets[:-1], dtype=np.float64)
+    return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -132,21 +151,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names = pa.array(model.languages)
         for column in columns:
             data, offsets = utf8(column)
-            best, score, rate = [], [], []
-            for first, last in chunks(offsets):
-                at = offsets[first : last + 1] - offsets[first]
-                bits = code_lengths(model, fold[data[offsets[first] : offsets[last]]], at)
-                best.append(bits.argmin(1))
-                least = bits.min(1)
-                score.append(1 / np.exp2(least[:, None] - bits).sum(1))
-                rate.append(least / np.maximum(np.diff(at) - ORDER, 1))
-            if best:
-                cells = [names.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(score)), pa.array(np.concatenate(rate))]
-            else:
-                cells = [pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.float64())]
+            bits = np.zeros((len(column), len(model.languages)))
+            # Each cut begins with the bytes before it, which cost nothing there.
+            for first, last, at in slices(offsets, ORDER):
+                bits[first:last] += code_lengths(model, fold[data[at[0] : at[-1]]], at - at[0])
+            least = bits.min(1)
+            score, rate = 1 / np.exp2(least[:, None] - bits).sum(1), least / np.maximum(np.diff(offsets) - ORDER, 1)
+            cells = [names.take(pa.array(bits.argmin(1))), pa.array(score), pa.array(rate)]
             yield pa.StructArray.from_arrays(cells, ["lang_pred", "score", "bits"])
 
     padded = F.concat(F.lit(PAD), F.coalesce("text", F.lit("")))
-    found = docs.withColumn("_found", label(padded)).withColumn("_found", F.when(letter, F.col("_found")).otherwise(unknown))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score"),
-                              "bits_per_byte": F.col("_found.bits")}).drop("_found")
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "bits_per_byte")]
+    row = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)])
+    found = docs.select(row.alias("row"), letter.alias("lettered"), label(padded).alias("found"))
+    found = found.select("row", F.when(F.col("lettered"), F.col("found")).otherwise(unknown).alias("found"))
+    return found.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], "found.lang_pred", "found.score",
+                        F.col("found.bits").alias("bits_per_byte"))
