@@ -148,13 +148,19 @@ def forest(a: np.ndarray, b: np.ndarray, near: np.ndarray, same: bool = False) -
     return np.concatenate(left), np.concatenate(right)
 
 
+def to_least(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Larger neighbours tied to the least node that their smaller end knows."""
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every linked node: rows (node, root), roots themselves left out.
 
     ``edges`` has columns a and b. Alternating large and small stars: a node ties its larger neighbours to
     the smallest node it knows, then its parents to the least of them, until nothing changes. No group is
-    gathered; minima combine before the shuffle and joins have one row per node on one side. Each
-    round is written to the staging folder, so a lost executor repeats one round at most."""
+    gathered: minima combine before the shuffle, and are written before they are joined, as Spark splits a hot
+    node's neighbours only where both sides of a join come straight from their exchanges. A lost executor repeats
+    tasks of one step."""
     ordered = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     now, seen = stage(ordered, "links"), None
     while True:
@@ -163,8 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stage(to_least(both, least).distinct(), "large")
+        parent = stage(large.groupBy("u").agg(F.min("v").alias("m")), "parent")
         small = large.join(parent, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stage(small.union(parent.select("u", F.col("m").alias("v"))).distinct(), "links")

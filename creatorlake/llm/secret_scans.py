@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creatorlake.session import new_staging_path
+from creatorlake.session import new_staging_path, stage
 
 #: Kind, pattern, group whose length counts, least length; in the order of the report. The patterns are
 #: fixed values. Hex and access runs are greedy, so their least length can stand in the pattern itself:
@@ -71,27 +71,34 @@ def update_ledger(paths: DataFrame, path: str, first: bool = False) -> DataFrame
     """Scan the blobs of ``paths`` that the ledger at ``path`` has not seen under this rule version, append
     them, and return the ledger. ``first``: there is no ledger yet.
 
-    Copies combine before the shuffle, at most one text per blob and task, so no blob is hot."""
+    Copies combine before the shuffle, at most one text per blob and task, and are one row before they meet the ledger,
+    so no blob is hot. Two writers at once may scan a blob twice; readers take one finding of each."""
     spark = paths.sparkSession
-    texts = versions(paths.select("text")).select("blob", F.coalesce("text", F.lit("")).alias("text"))
+    texts = versions(paths.select(F.coalesce("text", F.lit("")).alias("text"))).dropDuplicates(["blob"])
     if not first:
         seen = read_ledger(spark, path).where(F.col("rule_version") == RULE_VERSION).select("blob")
         texts = texts.join(seen, "blob", "left_anti")
-    scan(texts.dropDuplicates(["blob"])).write.mode("append").parquet(path)
+    scan(texts).write.mode("append").parquet(path)
     return read_ledger(spark, path)
 
 
+def known_findings(ledger: DataFrame) -> DataFrame:
+    """One row per blob with findings, written: a join with it can split a blob that very many paths have, which it
+    could not beside the aggregate itself."""
+    found = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+    return stage(found.select("blob", F.col("spans").alias("known")), "findings")
+
+
 def find(paths: DataFrame, ledger: DataFrame) -> DataFrame:
     """``paths`` with ``spans``, what the ledger has of each text: no spans is an empty list.
 
     Null and empty texts have none; repeated rows and paths of the same blob each get their findings; an
-    existing column of that name is replaced. Only blobs with findings are joined; a hot
-    blob is on the many side of the join, which adaptive skew handling splits."""
-    known = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).dropDuplicates(["blob"])
-    known = known.select(F.col("blob").alias("_known"), F.col("spans").alias("_spans"))
-    addressed = paths.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = addressed.join(known, F.col("_blob") == F.col("_known"), "left")
-    return joined.withColumn("spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_blob", "_known", "_spans")
+    existing column of that name is replaced. Only blobs with findings are joined."""
+    kept = [c for c in paths.columns if c.lower() != "spans"]
+    row = F.struct(*[paths[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)])
+    addressed = paths.select(row.alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    joined = addressed.join(known_findings(ledger), "blob", "left")
+    return joined.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], F.coalesce("known", F.array().cast(SPANS)).alias("spans"))
 
 
 def new_ledger_path(spark) -> str:

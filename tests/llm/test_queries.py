@@ -126,3 +126,27 @@ def test_pipeline(spark, sf_dir):
         counts.append(docs.count())
     assert counts[0] >= counts[1] > 0.9 * counts[0] and counts[1] > counts[2] > counts[3] and counts[3] == counts[4]
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == counts[4]
+
+
+def test_hot_keys_split(spark, monkeypatch):
+    """Joins of the operators whose many side may hold one key in most rows are planned as skewed ones."""
+    from creatorlake.llm import common, secret_scans
+
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        hub = spark.range(1, 60_001, 1, 8).selectExpr("if(id % 10 < 8, 0, id - id % 100) AS u", "id AS v")
+        least = common.stage(hub.groupBy("u").agg({"v": "min"}).toDF("u", "m"), "least")
+        text = "password = abcdefghijklmnop"
+        paths = spark.range(0, 40_000, 1, 8).selectExpr("id AS doc_id", f"if(id % 10 < 8, '{text}', concat('{text}', id)) AS text")
+        ledger = secret_scans.update_ledger(paths, secret_scans.new_ledger_path(spark), first=True)
+        for df in (common.to_least(hub, least), secret_scans.find(paths, ledger).select("doc_id", "spans")):
+            df.collect()
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
