@@ -97,6 +97,27 @@ def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, post-list and comment-list responses in one table, with the post lists that failed (errors) and their
+    ``arrival``: searches first, then posts, then comments."""
+    line = table(spark, sf_dir, "lineitem").selectExpr(f"struct({LINE_ORDER}) AS line").schema["line"].dataType.simpleString()
+    arrival = "named_struct('phase', {phase}, 'number', {number}, 'line', {line}) AS arrival"
+    none = arrival.replace("{line}", f"CAST(NULL AS {line})")
+    parts = [
+        search_captures(spark, sf_dir).selectExpr("* EXCEPT (response_seq)", none.format(phase=0, number="response_seq")),
+        post_captures(spark, sf_dir).selectExpr("* EXCEPT (response_seq)", none.format(phase=1, number="response_seq")),
+        table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr(
+            f"concat('{POST_LIST}', event_id) AS url", "CAST(NULL AS VARIANT) AS body", "false AS is_base64", "CAST(NULL AS STRING) AS ctx_hashtag",
+            "CAST(user_id AS STRING) AS ctx_user_id", "CAST(NULL AS STRING) AS ctx_post_id", none.format(phase=2, number="event_id")),
+        comment_captures(spark, sf_dir).selectExpr(
+            "* EXCEPT (response_seq)", arrival.format(phase=3, number="0L", line=f"CAST(response_seq AS {line})")),
+    ]
+    mixed = parts[0]
+    for part in parts[1:]:
+        mixed = mixed.unionByName(part)
+    return mixed
+
+
 # --- interchange records ----------------------------------------------------------------------------
 
 

@@ -1,4 +1,6 @@
-"""Web addresses: building, checking and normalising."""
+"""Web addresses: building, checking and normalising.
+
+Variables of lambdas begin with two underscores: an argument may be a column of any ordinary name."""
 
 from __future__ import annotations
 
@@ -48,16 +50,16 @@ def _without(s: str, pattern: str) -> str:
 
 def _percent_encode(s: str, unsafe: str) -> str:
     return f"""if({matches(s, unsafe)}, array_join(transform(split({s}, ''),
-        c -> CASE WHEN c = ' ' THEN '%20' WHEN {matches('c', unsafe)} THEN url_encode(c) ELSE c END), ''), {s})"""
+        __c -> CASE WHEN __c = ' ' THEN '%20' WHEN {matches('__c', unsafe)} THEN url_encode(__c) ELSE __c END), ''), {s})"""
 
 
 def _drop_dot_segments(path: str) -> str:
     """``.`` vanishes, ``..`` also takes the segment before it; at the end both leave a slash."""
     segments = f"split({_without(path, chr(92) + 'A/')}, '/')"
     last = f"element_at({segments}, -1)"
-    kept = f"""aggregate({segments}, CAST(array() AS ARRAY<STRING>), (done, s) -> CASE
-        WHEN {matches('s', _TWO_DOTS)} THEN slice(done, 1, greatest(size(done) - 1, 0))
-        WHEN {matches('s', _ONE_DOT)} THEN done ELSE array_append(done, s) END)"""
+    kept = f"""aggregate({segments}, CAST(array() AS ARRAY<STRING>), (__done, __s) -> CASE
+        WHEN {matches('__s', _TWO_DOTS)} THEN slice(__done, 1, greatest(size(__done) - 1, 0))
+        WHEN {matches('__s', _ONE_DOT)} THEN __done ELSE array_append(__done, __s) END)"""
     open_end = f"({matches(last, _ONE_DOT)} OR {matches(last, _TWO_DOTS)})"
     resolved = f"concat('/', array_join(if({open_end}, array_append({kept}, ''), {kept}), '/'))"
     return f"if({matches(path, _DOT_SEGMENT)}, {resolved}, {path})"
@@ -82,18 +84,18 @@ def normalize_url(s: str) -> str:
           'path', replace({_part(bare, _PARTS, 3)}, r'\\', '/'),
           'query', {_part(bare, _PARTS, 4)},
           'fragment', {_part(bare, _PARTS, 5)})),
-          u -> length({s}) <= {URL_MAX_LENGTH}
+          __u -> length({s}) <= {URL_MAX_LENGTH}
             AND {matches(bare, _PARTS)} AND {matches(host_port, _HOST_PORT)}
-            AND ({matches('u.host', _IPV6)}
-                 OR if({matches('u.host', _ENDS_IN_NUMBER)}, {matches('u.host', _IPV4)}, {matches('u.host', _NAME)}))
-            AND (u.port = '' OR coalesce(try_cast(u.port AS INT), 65536) <= 65535)),
-        u -> named_struct('u', u, 'port', try_cast(u.port AS INT),
-                          'path', if(u.path = '', '/', {_drop_dot_segments('u.path')}))),
-      p -> concat(
-        p.u.scheme, '://',
-        if(p.u.user = '', '', concat(replace(p.u.user, '@', '%40'), '@')),
-        p.u.host,
-        if(p.port IS NULL OR p.port = if(p.u.scheme = 'http', 80, 443), '', concat(':', p.port)),
-        {_percent_encode('p.path', _PATH_UNSAFE)},
-        {_percent_encode('p.u.query', _QUERY_UNSAFE)},
-        {_percent_encode('p.u.fragment', _FRAGMENT_UNSAFE)})), 0)"""
+            AND ({matches('__u.host', _IPV6)}
+                 OR if({matches('__u.host', _ENDS_IN_NUMBER)}, {matches('__u.host', _IPV4)}, {matches('__u.host', _NAME)}))
+            AND (__u.port = '' OR coalesce(try_cast(__u.port AS INT), 65536) <= 65535)),
+        __u -> named_struct('u', __u, 'port', try_cast(__u.port AS INT),
+                          'path', if(__u.path = '', '/', {_drop_dot_segments('__u.path')}))),
+      __p -> concat(
+        __p.u.scheme, '://',
+        if(__p.u.user = '', '', concat(replace(__p.u.user, '@', '%40'), '@')),
+        __p.u.host,
+        if(__p.port IS NULL OR __p.port = if(__p.u.scheme = 'http', 80, 443), '', concat(':', __p.port)),
+        {_percent_encode('__p.path', _PATH_UNSAFE)},
+        {_percent_encode('__p.u.query', _QUERY_UNSAFE)},
+        {_percent_encode('__p.u.fragment', _FRAGMENT_UNSAFE)})), 0)"""

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from creatorlake.functions.tags import with_hash
 from creatorlake.functions.times import timestamp_literal
 
 
@@ -37,10 +38,19 @@ def hashtag_distribution(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["hashtag", "user_id"]).groupBy("hashtag").agg(F.count(F.lit(1)).alias("profile_count"))
 
 
+def _tagged(df: DataFrame) -> DataFrame:
+    return df.selectExpr(f"{with_hash('hashtag')} AS tag", "hashtag")
+
+
+def _typed_tags(requested: DataFrame) -> DataFrame:
+    """One row per tag in ``#tag`` form with the way it was typed: with or without ``#``, both are one tag."""
+    return _tagged(requested).groupBy("tag").agg(F.min("hashtag").alias("hashtag"))
+
+
 def hashtag_metadata(requested: DataFrame, ranked: DataFrame, search_ts) -> DataFrame:
     """Search time and number of profiles of every requested tag, zero included."""
-    found = profiles_per_hashtag(ranked)
-    return requested.select("hashtag").distinct().join(found, "hashtag", "left").selectExpr(
+    found = _tagged(ranked).groupBy("tag").agg(F.count(F.lit(1)).alias("profile_count"))
+    return _typed_tags(requested).join(found, "tag", "left").selectExpr(
         "hashtag", f"{timestamp_literal(search_ts)} AS search_timestamp", "coalesce(profile_count, 0L) AS profiles_found"
     )
 
@@ -130,14 +140,15 @@ def cleaning_summary(tables: dict[str, DataFrame], tag_counts: DataFrame) -> Dat
 
 def failed_items(hashtags: DataFrame, ranked: DataFrame, profiles: DataFrame, profile_posts: DataFrame,
                  posts: DataFrame, post_comments: DataFrame) -> DataFrame:
-    """Hashtags without profiles, profiles without posts, posts without comments."""
+    """Hashtags without profiles, profiles without posts, posts without comments. Hashtags are compared in ``#tag`` form."""
 
     def missing(items: DataFrame, key: str, found: DataFrame, kind: str) -> DataFrame:
         return items.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").select(
             F.lit(kind).alias("kind"), F.col(key).alias("item_id"))
 
+    unfound = _typed_tags(hashtags).join(_tagged(ranked).select("tag").distinct(), "tag", "left_anti")
     return (
-        missing(hashtags, "hashtag", ranked, "hashtags")
+        unfound.select(F.lit("hashtags").alias("kind"), F.col("hashtag").alias("item_id"))
         .unionByName(missing(profiles, "user_id", profile_posts, "profiles"))
         .unionByName(missing(posts, "post_id", post_comments, "posts"))
     )

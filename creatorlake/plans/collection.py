@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from creatorlake import constants as k
 from creatorlake.operators import extract, relations, summaries, topn
 from creatorlake.session import stage
+from creatorlake.sources import bronze
 from creatorlake.sources.responses import decoded, routed
 
 
@@ -77,6 +78,20 @@ def relate(ranked: DataFrame, posts: DataFrame, comments: DataFrame, authors: Da
     )
 
 
+def _stages(search: DataFrame, post_lists: DataFrame, comment_lists: DataFrame, profiles_per_hashtag: int,
+            posts_per_profile: int, comments_per_post: int, staged: bool) -> Collected:
+    """Decoded responses of the three endpoints to related entities, cut to their limits."""
+    authors = extract.extract_authors(search)
+    if staged:
+        authors = stage(authors, "authors")
+    ranked = topn.top_profiles_per_hashtag(authors, profiles_per_hashtag)
+    posts = topn.first_posts_per_profile(extract.extract_posts(post_lists), posts_per_profile)
+    comments = topn.first_comments_per_post(extract.extract_comments(comment_lists), comments_per_post)
+    if staged:
+        ranked, posts, comments = stage(ranked, "ranked"), stage(posts, "posts"), stage(comments, "comments")
+    return relate(ranked, posts, comments, authors)
+
+
 def collect(
     responses: DataFrame,
     profiles_per_hashtag: int = k.PROFILES_PER_HASHTAG,
@@ -84,16 +99,20 @@ def collect(
     comments_per_post: int = k.COMMENTS_PER_POST,
     staged: bool = True,
 ) -> Collected:
-    """Full collection plan over one bronze table of all endpoints."""
-    authors = extract.extract_authors(decoded(routed(responses, k.SEARCH_ENDPOINT)))
-    ranked = topn.top_profiles_per_hashtag(authors, profiles_per_hashtag)
-    posts = topn.first_posts_per_profile(
-        extract.extract_posts(decoded(routed(responses, k.POST_LIST_ENDPOINT))), posts_per_profile
-    )
-    comments = topn.first_comments_per_post(
-        extract.extract_comments(decoded(routed(responses, k.COMMENT_LIST_ENDPOINT))), comments_per_post
-    )
-    if staged:
-        authors, ranked = stage(authors, "authors"), stage(ranked, "ranked")
-        posts, comments = stage(posts, "posts"), stage(comments, "comments")
-    return relate(ranked, posts, comments, authors)
+    """Full collection plan over one table of undecoded responses of all endpoints."""
+    parts = [decoded(routed(responses, e)) for e in (k.SEARCH_ENDPOINT, k.POST_LIST_ENDPOINT, k.COMMENT_LIST_ENDPOINT)]
+    return _stages(*parts, profiles_per_hashtag, posts_per_profile, comments_per_post, staged)
+
+
+def collect_bronze(
+    spark: SparkSession,
+    root: str,
+    run_id: str,
+    profiles_per_hashtag: int = k.PROFILES_PER_HASHTAG,
+    posts_per_profile: int = k.POSTS_PER_PROFILE,
+    comments_per_post: int = k.COMMENTS_PER_POST,
+    staged: bool = True,
+) -> Collected:
+    """The same over one run of a bronze table: each stage reads the partition of its endpoint, decoded when it landed."""
+    parts = [bronze.read(spark, root, endpoint, [run_id]) for endpoint in ("search", "posts", "comments")]
+    return _stages(*parts, profiles_per_hashtag, posts_per_profile, comments_per_post, staged)

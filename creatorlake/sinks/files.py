@@ -37,21 +37,32 @@ def write_tables(
     return {name: path for name, (path, rows) in _write_counted(tables, root, run_id, fmt, mode, python_words).items() if rows}
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, folder = _folder(spark, path)
+    return store.exists(folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    store, folder = _folder(spark, path)
+    store.delete(folder, True)
 
 
 def _write_counted(tables, root, run_id, fmt, mode, python_words=False) -> dict[str, tuple[str, int]]:
     """Folder and row count per table. Each table is computed once: rows are counted as they are written, and
-    the folder of an empty one is removed again."""
+    the folder of an empty one is removed again, unless an append found it there with earlier rows."""
     written = {}
     for name, df in tables.items():
         path, seen = f"{root}/{name}/run_id={run_id}", Observation()
+        before = mode == "append" and exists(df.sparkSession, path)
         counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         _writer(csv_ready(counted, python_words) if fmt == "csv" else counted, fmt, mode).save(path)
         rows = seen.get["rows"]
-        if not rows:
+        if not rows and not before:
             _delete(df.sparkSession, path)
         written[name] = (path, rows)
     return written

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from creatorlake.constants import LARGE_RESPONSE_BYTES
 from creatorlake.functions.bodies import first_of_list, is_large_response, parse_text
 from creatorlake.functions.sql import matches
+from creatorlake.functions.times import timestamp_literal
 from creatorlake.schemas import RESPONSE
 
 
@@ -38,3 +39,11 @@ def captured(responses: DataFrame) -> DataFrame:
 
 def failed(responses: DataFrame) -> DataFrame:
     return responses.where("body IS NULL OR is_variant_null(body)")
+
+
+def capture_errors(responses: DataFrame, run_ts) -> DataFrame:
+    """One error row per failed capture, in the form of the error log. ``responses`` have an ``endpoint``."""
+    return failed(responses).selectExpr(
+        f"{timestamp_literal(run_ts)} AS timestamp", "upper(endpoint) AS phase", "'RESPONSE_ERROR' AS error_type",
+        "concat('No body from ', url) AS message", "coalesce(ctx_hashtag, ctx_post_id, ctx_user_id) AS item_id",
+        "CAST(NULL AS STRING) AS exception_str")
