@@ -160,8 +160,11 @@ def post_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts with a short caption, so that every text's words are read as hashtags."""
-    return _records(_payloads(spark, sf_dir, "documents"), "doc_id",
-                    _POST.format(desc="lang", stats="", created="doc_id", extra=""))
+    return documents_as_posts(_payloads(spark, sf_dir, "documents"))
+
+
+def documents_as_posts(documents: DataFrame) -> DataFrame:
+    return _records(documents, "doc_id", _POST.format(desc="lang", stats="", created="doc_id", extra=""))
 
 
 def comment_records(spark: SparkSession, sf_dir: str) -> DataFrame:

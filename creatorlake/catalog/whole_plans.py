@@ -52,6 +52,21 @@ def plan_quarantine(spark, sf_dir):
     return rejected.selectExpr("entity", "record_id", "array_join(violations, '; ') AS violations")
 
 
+@query(f"""
+    SELECT 'influencers' AS item, count(*) AS row_count FROM ({ORACLES["clean_profiles"]})
+    UNION ALL SELECT 'posts', count(*) FROM documents
+    UNION ALL SELECT 'comments', count(*) FROM conversations
+    UNION ALL SELECT 'reply_comments', count(*) FROM ({ORACLES["reply_rows"]})
+    UNION ALL SELECT 'post_hashtags', count(*) FROM ({ORACLES["post_hashtags"]})
+    UNION ALL SELECT 'hashtag_frequency', count(*) FROM ({ORACLES["hashtag_frequency"]})
+    UNION ALL SELECT 'hashtag_influencer_pairs', (SELECT count(*) FROM (SELECT DISTINCT source, tag FROM ({parts.KEPT})))
+        + 2 * (SELECT count(*) FROM ({ORACLES["clean_profiles"]}))""")
+def plan_summary(spark, sf_dir):
+    """All counts of a cleaning run, comments with replies among them."""
+    return clean(inputs.profile_records(spark, sf_dir), inputs.tagged_documents(spark, sf_dir), inputs.reply_records(spark, sf_dir),
+                 inputs.RUN_TS).summary()
+
+
 def _written(spark, tables, fmt):
     return files.write_tables(tables, new_staging_path(spark, "written"), "0007", fmt)
 

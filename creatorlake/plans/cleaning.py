@@ -3,29 +3,100 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from creatorlake.operators import cleaning as c
 from creatorlake.operators.quality import quarantine
+from creatorlake.operators.summaries import cleaning_summary
 from creatorlake.session import stage
 
 
 @dataclass(frozen=True)
 class CleanTables:
-    influencers: DataFrame
-    posts: DataFrame
-    comments: DataFrame
-    reply_comments: DataFrame
-    post_hashtags: DataFrame
-    hashtag_frequency: DataFrame
-    tag_counts: DataFrame
-    quarantine: DataFrame
+    """The clean tables and the quarantine of one run. An entity is parsed and checked when first asked for; with
+    ``staged`` it is then written to the staging folder, and every output reads from there."""
+
+    profiles: DataFrame
+    post_records: DataFrame
+    comment_records: DataFrame
+    run_ts: str
+    on_bad_hashtag: str = "cut"
+    staged: bool = True
+
+    def _once(self, checked: DataFrame, name: str) -> DataFrame:
+        return stage(checked, name) if self.staged else checked
+
+    @cached_property
+    def checked_profiles(self) -> DataFrame:
+        return self._once(c.check_profiles(self.profiles, self.run_ts), "profiles")
+
+    @cached_property
+    def checked_posts(self) -> DataFrame:
+        return self._once(c.check_posts(self.post_records, self.run_ts, self.on_bad_hashtag), "posts")
+
+    @cached_property
+    def checked_comments(self) -> DataFrame:
+        return self._once(c.check_comments(self.comment_records, self.run_ts), "comments")
+
+    @cached_property
+    def checked_replies(self) -> DataFrame:
+        return c.check_replies(self.checked_comments)
+
+    @property
+    def influencers(self) -> DataFrame:
+        return c.influencers(self.checked_profiles)
+
+    @property
+    def posts(self) -> DataFrame:
+        return c.posts(self.checked_posts)
+
+    @property
+    def comments(self) -> DataFrame:
+        return c.comments(self.checked_comments)
+
+    @property
+    def reply_comments(self) -> DataFrame:
+        return c.reply_comments(self.checked_replies)
+
+    @property
+    def post_hashtags(self) -> DataFrame:
+        return c.post_hashtags(self.checked_posts)
+
+    @cached_property
+    def tag_counts(self) -> DataFrame:
+        return c.tag_counts(c.profile_tags(self.checked_profiles), c.post_tags(self.checked_posts))
+
+    @property
+    def hashtag_frequency(self) -> DataFrame:
+        return c.hashtag_frequency(self.tag_counts)
+
+    @property
+    def quarantine(self) -> DataFrame:
+        parts = []
+        for df, entity, record_id in [
+            (self.checked_profiles, "profile", "tiktok_id"),
+            (self.checked_posts, "post", "post_id"),
+            (self.checked_comments, "comment", "comment_id"),
+            (self.checked_replies, "reply", "reply_comment_id"),
+        ]:
+            # Positions differ in type: a number, or a struct of several.
+            nested = dict(df.dtypes)["record_pos"].startswith("struct")
+            pos = F.to_json("record_pos") if nested else F.col("record_pos").cast("string")
+            parts.append(quarantine(df, entity, record_id).withColumn("record_pos", pos))
+        return reduce(DataFrame.unionByName, parts)
 
     def outputs(self) -> dict[str, DataFrame]:
         names = ["influencers", "posts", "comments", "reply_comments", "post_hashtags", "hashtag_frequency"]
         return {name: getattr(self, name) for name in names}
 
+    def summary(self) -> DataFrame:
+        """Rows of all six tables, and (influencer, tag) pairs before odd tags are dropped. The pairs are counted once
+        and written: both the pairs and the table of frequencies read them."""
+        counts = stage(self.tag_counts, "tag-counts") if self.staged else self.tag_counts
+        return cleaning_summary({**self.outputs(), "hashtag_frequency": c.hashtag_frequency(counts)}, counts)
+
 
 def clean(
     profiles: DataFrame,
@@ -35,37 +106,4 @@ def clean(
     on_bad_hashtag: str = "cut",
     staged: bool = True,
 ) -> CleanTables:
-    """All clean tables and the quarantine. With ``staged`` each entity is parsed and checked once,
-    written to the staging folder, and every output reads from there."""
-    checked_profiles = c.check_profiles(profiles, run_ts)
-    checked_posts = c.check_posts(posts, run_ts, on_bad_hashtag)
-    checked_comments = c.check_comments(comments, run_ts)
-    if staged:
-        checked_profiles = stage(checked_profiles, "profiles")
-        checked_posts = stage(checked_posts, "posts")
-        checked_comments = stage(checked_comments, "comments")
-    checked_replies = c.check_replies(checked_comments)
-    counts = c.tag_counts(c.profile_tags(checked_profiles), c.post_tags(checked_posts))
-
-    rejected = None
-    for df, entity, record_id in [
-        (checked_profiles, "profile", "tiktok_id"),
-        (checked_posts, "post", "post_id"),
-        (checked_comments, "comment", "comment_id"),
-        (checked_replies, "reply", "reply_comment_id"),
-    ]:
-        # Positions differ in type: a number, or a struct of several.
-        nested = dict(df.dtypes)["record_pos"].startswith("struct")
-        pos = F.to_json("record_pos") if nested else F.col("record_pos").cast("string")
-        part = quarantine(df, entity, record_id).withColumn("record_pos", pos)
-        rejected = part if rejected is None else rejected.unionByName(part)
-    return CleanTables(
-        influencers=c.influencers(checked_profiles),
-        posts=c.posts(checked_posts),
-        comments=c.comments(checked_comments),
-        reply_comments=c.reply_comments(checked_replies),
-        post_hashtags=c.post_hashtags(checked_posts),
-        hashtag_frequency=c.hashtag_frequency(counts),
-        tag_counts=counts,
-        quarantine=rejected,
-    )
+    return CleanTables(profiles, posts, comments, run_ts, on_bad_hashtag, staged)
