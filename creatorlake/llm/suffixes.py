@@ -1,4 +1,4 @@
-"""Repeated passages from sparse suffixes: only those at content-selected minimisers are sorted and extended."""
+"""Repeated passages from sparse suffixes: only those at content-selected minimisers are kept, matched and extended."""
 
 from __future__ import annotations
 
@@ -146,12 +146,13 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     smallest doc_id of the text, then place. Words are digits, letters and non-ASCII characters, A-Z lowered.
 
     A suffix is retained where its first ``gram`` words hash lowest in some window, so equal windows retain
-    suffixes at the same place. Sorted by that hash, suffixes with an equal neighbour survive; around each,
-    every window it is the minimiser of is compared by the hash of all its words, and neighbouring windows
-    join left and right into maximal stretches. Comparing all such windows, not only sorted neighbours,
-    keeps a passage that several longer ones interleave. Equal texts are one node and repeat as a
-    whole. Counts combine before shuffles and joins have one row per hash on one side, so frequent
-    passages split. Texts that are null or shorter than a passage have no row, nor has an empty table."""
+    suffixes at the same place. Suffixes whose first words occur once are done with; around each of the others, every
+    window it is the minimiser of is compared, left and right of it, by a 64-bit hash of all its words, and
+    neighbouring windows join into maximal stretches. A sort that compares each suffix with its two neighbours only
+    would lose a passage that longer ones interleave: a partner that agrees on fewer words to the right and on more
+    to the left need not be next to it. Equal texts are one node and repeat as a whole. Counts combine before
+    shuffles and are written before they are joined, so that joins split a hot hash. Texts that are null or shorter
+    than a passage have no row, nor has an empty table."""
     blob = F.md5(F.coalesce("text", F.lit("")))
     marked = docs.select("doc_id", blob.alias("blob"), _anchors(F.col("text"), passage, gram).alias("found"))
     marked = stage(marked.select("doc_id", "blob", "found.*"), "suffixes")
@@ -159,7 +160,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
                                          F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors"))
     classes = stage(classes.where(F.col("n_words") >= passage).withColumn("node", F.monotonically_increasing_id()), "classes")
     suffixes = classes.select("node", F.explode("anchors").alias("anchor"))
-    shared = suffixes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    shared = stage(suffixes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     wanted = suffixes.join(shared, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors"))
     wanted = classes.select("node", "blob").join(wanted, "node")
     texts = docs.select(blob.alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
@@ -167,7 +168,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
 
     order = windows.join(classes.select("node", "first"), "node")
     earliest = F.min(F.struct("first", "node", "start")).alias("earliest")
-    again = order.groupBy("passage").agg(F.count("*").alias("n"), earliest).where("n > 1").drop("n")
+    again = stage(order.groupBy("passage").agg(F.count("*").alias("n"), earliest).where("n > 1").drop("n"), "passages")
     hits = windows.join(again, "passage").groupBy("node").agg(
         F.collect_list("start").alias("starts"),
         F.collect_list(F.when((F.col("node") != F.col("earliest.node")) | (F.col("start") != F.col("earliest.start")), F.col("start"))).alias("later"))
