@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from creatorlake.catalog import cleaning as parts
 from creatorlake.catalog import inputs
+from creatorlake.catalog.captures import _authors_out
 from creatorlake.catalog.registry import ORACLES, QUERIES, query
+from creatorlake.operators import extract
 from creatorlake.plans.cleaning import clean
 from creatorlake.session import new_staging_path
 from creatorlake.sinks import files
-from creatorlake.sources import interchange, snapshots
+from creatorlake.sources import interchange, responses, snapshots
 
 
 def _cleaned(spark, sf_dir, posts=inputs.post_records):
@@ -106,3 +108,32 @@ def restored_snapshot(spark, sf_dir):
     snapshots.save_snapshot({"profiles": profiles.where("user_id IS NULL"), "relations": edges}, root, "0007")
     tables = snapshots.restore_latest(spark, root)
     return tables["relations"].unionByName(tables["profiles"].selectExpr("user_id", "username AS hashtag"))
+
+
+@query(ORACLES["extract_authors"])
+def landed_responses(spark, sf_dir):
+    """Search responses landed as JSON Lines, with their bodies as text or as JSON, and read by the schema of the landing zone."""
+    captures = inputs.search_captures(spark, sf_dir)
+    path = f"{new_staging_path(spark, 'landed')}/responses"
+    captures.write.json(path)
+    return _authors_out(extract.extract_authors(responses.decoded(responses.read_responses(spark, path))))
+
+
+def _exported(spark, sf_dir):
+    """The flat tables, their summary and a metadata row as CSV."""
+    tables = {"profiles": QUERIES["flat_profiles"](spark, sf_dir), "posts": QUERIES["flat_posts"](spark, sf_dir),
+              "comments": QUERIES["flat_comments"](spark, sf_dir), "profile_hashtag_relations": QUERIES["relation_rows"](spark, sf_dir)}
+    return tables, files.export_csv(tables, QUERIES["relationship_summary"](spark, sf_dir), new_staging_path(spark, "export"), "0007", inputs.RUN_TS)
+
+
+@query(ORACLES["export_metadata"])
+def exported_metadata(spark, sf_dir):
+    schema = QUERIES["export_metadata"](spark, sf_dir).schema
+    return spark.read.schema(schema).options(header=True, escape='"').csv(_exported(spark, sf_dir)[1]["metadata"])
+
+
+@query(ORACLES["flat_comments"])
+def exported_comments(spark, sf_dir):
+    tables, written = _exported(spark, sf_dir)
+    rows = spark.read.schema(tables["comments"].schema).options(header=True, escape='"').csv(written["comments"])
+    return rows.fillna("", ["profile_username", "profile_display_name"])

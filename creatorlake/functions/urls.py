@@ -5,16 +5,12 @@ Variables of lambdas begin with two underscores: an argument may be a column of
 from __future__ import annotations
 
 from creatorlake.constants import SITE_URL, URL_MAX_LENGTH
+from creatorlake.functions.hosts import normalize_host
 from creatorlake.functions.sql import matches, text_literal
 
 # scheme : slashes authority path query fragment
 _PARTS = r"(?is)\A(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 _HOST_PORT = r"(?s)\A(\[[^\]]*\]|[^:]*)(?::([0-9]*))?\z"
-_NAME = r"\A[a-z0-9!\"$&\x27()*+,;=_.~{}`-]+\z"
-_BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_IPV4 = rf"\A{_BYTE}(\.{_BYTE}){{3}}\z"
-_ENDS_IN_NUMBER = r"(\A|\.)([0-9]+|0x[0-9a-f]*)\.?\z"
-_IPV6 = r"\A\[[0-9a-f:.]+\]\z"
 _PATH_UNSAFE = r"[\x00-\x20\"#<>?`{}\x7f]|[^\x00-\x7f]"
 _QUERY_UNSAFE = r"[\x00-\x20\"#<>\x27\x7f]|[^\x00-\x7f]"
 _FRAGMENT_UNSAFE = r"[\x00-\x20\"<>`\x7f]|[^\x00-\x7f]"
@@ -68,9 +64,8 @@ def _drop_dot_segments(path: str) -> str:
 def normalize_url(s: str) -> str:
     """http or https address in normal form, or NULL. Never rejects a record.
 
-    Lower-case scheme and host, default port dropped, ``/`` for an empty path, unsafe characters
-    percent-encoded, dot segments resolved. NULL also for international, percent-encoded and
-    short numeric host names."""
+    Lower-case scheme, host in normal form (see ``hosts``), default port dropped, ``/`` for an empty path,
+    unsafe characters percent-encoded, dot segments resolved."""
     bare = _without(_without(s, r"\A[\x00-\x20]+|[\x00-\x20]+\z"), r"[\t\n\r]")
     authority = _part(bare, _PARTS, 2)
     host_port = _without(authority, r"(?s)\A.*@")
@@ -79,15 +74,14 @@ def normalize_url(s: str) -> str:
         filter(array(named_struct(
           'scheme', lower({_part(bare, _PARTS, 1)}),
           'user', regexp_extract({authority}, r'(?s)\\A(.*)@', 1),
-          'host', lower({_part(host_port, _HOST_PORT, 1)}),
+          'host', {normalize_host(_part(host_port, _HOST_PORT, 1))},
           'port', {_part(host_port, _HOST_PORT, 2)},
           'path', replace({_part(bare, _PARTS, 3)}, r'\\', '/'),
           'query', {_part(bare, _PARTS, 4)},
           'fragment', {_part(bare, _PARTS, 5)})),
           __u -> length({s}) <= {URL_MAX_LENGTH}
             AND {matches(bare, _PARTS)} AND {matches(host_port, _HOST_PORT)}
-            AND ({matches('__u.host', _IPV6)}
-                 OR if({matches('__u.host', _ENDS_IN_NUMBER)}, {matches('__u.host', _IPV4)}, {matches('__u.host', _NAME)}))
+            AND __u.host IS NOT NULL
             AND (__u.port = '' OR coalesce(try_cast(__u.port AS INT), 65536) <= 65535)),
         __u -> named_struct('u', __u, 'port', try_cast(__u.port AS INT),
                           'path', if(__u.path = '', '/', {_drop_dot_segments('__u.path')}))),
