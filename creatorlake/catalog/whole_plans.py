@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from creatorlake.catalog import cleaning as parts
 from creatorlake.catalog import inputs
 from creatorlake.catalog.captures import _authors_out
@@ -10,7 +12,7 @@ from creatorlake.operators import extract
 from creatorlake.plans.cleaning import clean
 from creatorlake.session import new_staging_path
 from creatorlake.sinks import files
-from creatorlake.sources import interchange, responses, snapshots
+from creatorlake.sources import interchange, large_documents, responses, snapshots
 
 
 def _cleaned(spark, sf_dir, posts=inputs.post_records):
@@ -137,3 +139,24 @@ def exported_comments(spark, sf_dir):
     tables, written = _exported(spark, sf_dir)
     rows = spark.read.schema(tables["comments"].schema).options(header=True, escape='"').csv(written["comments"])
     return rows.fillna("", ["profile_username", "profile_display_name"])
+
+
+#: Customers of one document: bounds what is put together before it is written.
+CUSTOMERS_PER_DOCUMENT = 1000
+
+
+@query("""
+    SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name || ' }],"' AS username, CAST(floor(c_acctbal) AS BIGINT) AS follower_count,
+        (row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey)) - 1 AS item_pos FROM customer""")
+def split_documents(spark, sf_dir):
+    """Indented documents, one a file, read back by splits of lines."""
+    path = f"{new_staging_path(spark, 'exports')}/documents"
+    rows = inputs.table(spark, sf_dir, "customer").selectExpr(
+        f"c_custkey div {CUSTOMERS_PER_DOCUMENT} AS document", "struct(c_custkey AS place, CAST(c_custkey AS STRING) AS user_id, "
+        "concat(c_name, ' }],\"') AS username, CAST(floor(c_acctbal) AS BIGINT) AS follower_count) AS r")
+    rows.groupBy("document").agg(F.array_sort(F.collect_list("r")).alias("profiles")).selectExpr(
+        "document", "to_json(struct(array('[{') AS posts, profiles), map('pretty', 'true')) AS text").write.partitionBy("document").text(path)
+    found = large_documents.entity_records(large_documents.read_elements(spark, path), "profiles")
+    return found.selectExpr(
+        "variant_get(record, '$.user_id', 'string') AS user_id", "variant_get(record, '$.username', 'string') AS username",
+        "variant_get(record, '$.follower_count', 'bigint') AS follower_count", "CAST(record_pos.item_pos AS BIGINT) AS item_pos")

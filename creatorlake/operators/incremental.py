@@ -40,7 +40,9 @@ class TagCounts:
         for k, (table, rows, uses) in enumerate(parts):
             if table.committed(run_id):
                 continue
-            rows = stage(rows, "captured")
+            # Counting needs no more of an entity than this.
+            needed = dict.fromkeys([*table.keys, *table.position, "influencer_tiktok_id", "hashtags", "violations"])
+            rows = stage(rows.select(*[c for c in needed if c in rows.columns]), "captured")
             done = None
             if not table.committed(f"{run_id}: changes"):
                 done = table.planned(rows, run_id)
