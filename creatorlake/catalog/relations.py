@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from creatorlake.catalog import captures, inputs
-from creatorlake.catalog.registry import query
+from creatorlake.catalog.registry import ORACLES, query
 from creatorlake.operators import relations
+from creatorlake.sinks.bucketed import save_bucketed
 from creatorlake.sources import supplied
 
 SEGMENTS = "SELECT DISTINCT '#' || lower(c_mktsegment) AS hashtag FROM customer"
@@ -158,3 +159,30 @@ def supplied_posts(spark, sf_dir):
     known = _users(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal > 0")
     mapping = inputs.comments(spark, sf_dir).select("post_id", "user_id")
     return supplied.from_posts(inputs.posts(spark, sf_dir), known, mapping)[1]
+
+
+def _silver(spark, sf_dir):
+    """Posts, comments and owners by post: written once, joined often."""
+    frames = {"posts": inputs.posts(spark, sf_dir), "comments": inputs.comments(spark, sf_dir), "owners": _post_owners(spark, sf_dir)}
+    return {name: save_bucketed(df, name, "post_id", 8) for name, df in frames.items()}
+
+
+@query(ORACLES["flat_comments"])
+def bucketed_comments(spark, sf_dir):
+    silver = _silver(spark, sf_dir)
+    known = _users(spark, sf_dir, "customer", "c_custkey", "c_mktsegment <> 'BUILDING'", "c_name AS username", "lower(c_name) AS display_name")
+    return relations.flat_comments(silver["comments"], silver["owners"], known).selectExpr(
+        "* EXCEPT (raw_comment_data)", "try_variant_get(raw_comment_data, '$.digg_count', 'double') AS digg_count")
+
+
+@query(ORACLES["todo_posts"])
+def bucketed_todo_posts(spark, sf_dir):
+    silver = _silver(spark, sf_dir)
+    return relations.posts_to_do(silver["posts"].select("post_id"), relations.post_comment_edges(silver["comments"]))
+
+
+@query(ORACLES["comment_owner"].replace(LAST_LINES, "SELECT * FROM lineitem"))
+def bucketed_comment_owners(spark, sf_dir):
+    """Every line as a comment, repeated ids too."""
+    silver = _silver(spark, sf_dir)
+    return relations.comment_owner(silver["comments"], silver["owners"])

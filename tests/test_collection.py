@@ -72,3 +72,26 @@ def test_requested_tags_are_found_however_typed(spark):
 def test_addresses_in_columns_of_any_name(spark, name):
     df = spark.createDataFrame([("HTTP://Example.com/a/../b c",)], f"{name} string")
     assert df.select(F.expr(normalize_url(name))).first()[0] == "http://example.com/b%20c"
+
+
+def test_bucketed_tables_are_joined_where_they_lie(spark, sf_dir):
+    """No exchange above a bucketed scan; only the side that is keyed otherwise moves."""
+    from creatorlake.catalog import relations as catalog_relations
+    from creatorlake.operators import relations
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        silver = catalog_relations._silver(spark, sf_dir)
+        posts = silver["posts"].select("post_id")
+        todo = plan_text(relations.posts_to_do(posts, silver["comments"].select("post_id")))
+        owned = plan_text(relations.comment_owner(silver["comments"], silver["owners"]))
+        flat = plan_text(relations.flat_posts(silver["posts"], silver["owners"]))
+        profiles = inputs.profiles(spark, sf_dir)
+        comments = plan_text(relations.flat_comments(silver["comments"], silver["owners"], profiles))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for plan in (todo, owned, flat):
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+    # Owners are joined to names by owner first; the comments, the large side, stay.
+    assert comments.count("Exchange") == 3
