@@ -10,7 +10,7 @@ from creatorlake.functions.sql import let, matches
 _NAME = r"\A[a-z0-9!\"$&\x27()*+,;=_.~{}`-]+\z"
 _ENDS_IN_NUMBER = r"(\A|\.)([0-9]+|0x[0-9a-f]*)\.?\z"
 # Most names: nothing to decode or fold, and no number at the end.
-_PLAIN = r"\A([a-zA-Z0-9_-]+\.)*[a-zA-Z][a-zA-Z0-9_-]*\z"
+_PLAIN = r"\A(?!.*[xX][nN]--)([a-zA-Z0-9_-]+\.)*[a-zA-Z][a-zA-Z0-9_-]*\z"
 _ASCII = r"\A[\x00-\x7f]*\z"
 # Letters that the versions of the standard turn into ASCII in different ways, and ignored marks.
 _DISPUTED = r"[ßẞς\u200c\u200d]"
@@ -89,6 +89,6 @@ def normalize_host(host: str) -> str:
     broken = "exists(split(__t, '[.]'), __x -> startswith(__x, 'xn--') AND try_reflect('java.net.IDN', 'toUnicode', __x, 1) = __x)"
     name = f"""CASE WHEN {matches('__t', _ENDS_IN_NUMBER)} THEN {_ipv4('__t')}
         WHEN {matches('__t', _NAME)} AND NOT (contains(__t, 'xn--') AND {broken}) THEN __t END"""
-    return f"""CASE WHEN {matches(host, _PLAIN)} AND NOT {matches(host, '(?i)xn--')} THEN lower({host})
-        WHEN startswith({host}, '[') THEN if(endswith({host}, ']'), {_ipv6(f'lower({host})')}, NULL)
-        ELSE {let('__o', _decoded(host), let('__t', _ascii('__o'), name))} END"""
+    other = f"""if(startswith(__i, '['), if(endswith(__i, ']'), {let('__v', 'lower(__i)', _ipv6('__v'))}, NULL),
+        {let('__o', _decoded('__i'), let('__t', _ascii('__o'), name))})"""
+    return let("__i", host, f"CASE WHEN {matches('__i', _PLAIN)} THEN lower(__i) ELSE {other} END")
