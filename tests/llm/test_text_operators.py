@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from creatorlake.llm import decontaminate, language_id, packing, quality, resharding, secret_scans, simhash, suffixes
-from creatorlake.llm.common import components
+from creatorlake.llm.common import components, slices
 from tests.oracle import compare, connect
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -100,6 +100,22 @@ def test_language_id(documents, nothing):
     assert {r[0] for r in unlearnt.select("lang_pred").distinct().collect()} == {"und"}
 
 
+@pytest.mark.parametrize("limit", [10, 100, 997, 10_000])
+def test_cuts_inside_texts_change_no_code_length(limit):
+    rng = np.random.default_rng(0)
+    sizes = (0, 5, 1000, 7, 50_000, 1, 3000)
+    data = np.frombuffer(b"".join(b"   " + bytes(rng.integers(97, 103, n).astype(np.uint8)) for n in sizes), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([n + 3 for n in sizes])])
+    grams = rng.integers(97, 103, (4, 4000))
+    model = language_id.build(["a", "b"], np.array([0, 1] * 2000), (grams[0] << 24) | (grams[1] << 16) | (grams[2] << 8) | grams[3],
+                              rng.integers(1, 9, 4000))
+    bits, longest = np.zeros((len(sizes), 2)), 0
+    for first, last, at in slices(offsets, language_id.ORDER, limit):
+        bits[first:last] += language_id.code_lengths(model, data[at[0] : at[-1]], at - at[0])
+        longest = max(longest, at[-1] - at[0])
+    assert np.allclose(bits, language_id.code_lengths(model, data, offsets)) and longest <= limit + language_id.ORDER
+
+
 def test_code_lengths_are_exact():
     """Against the definition, byte by byte: longest context first, escapes to shorter ones."""
     texts = [("aa", b"abracadabra abra"), ("bb", b"bananas and bandanas")]
