@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from creatorlake.operators import cleaning as c
 from creatorlake.operators.quality import quarantine
+from creatorlake.operators.standard import standard_records, without_repeats
 from creatorlake.operators.summaries import cleaning_summary
 from creatorlake.session import stage
 
@@ -16,7 +17,8 @@ from creatorlake.session import stage
 @dataclass(frozen=True)
 class CleanTables:
     """The clean tables and the quarantine of one run. An entity is parsed and checked when first asked for; with
-    ``staged`` it is then written to the staging folder, and every output reads from there."""
+    ``staged`` it is then written to the staging folder, and every output reads from there. With ``standard`` texts are
+    put in standard encoding ahead of the checks, and of valid profiles with one id the last one stays."""
 
     profiles: DataFrame
     post_records: DataFrame
@@ -24,21 +26,26 @@ class CleanTables:
     run_ts: str
     on_bad_hashtag: str = "cut"
     staged: bool = True
+    standard: bool = False
 
     def _once(self, checked: DataFrame, name: str) -> DataFrame:
         return stage(checked, name) if self.staged else checked
 
+    def _records(self, records: DataFrame) -> DataFrame:
+        return standard_records(records) if self.standard else records
+
     @cached_property
     def checked_profiles(self) -> DataFrame:
-        return self._once(c.check_profiles(self.profiles, self.run_ts), "profiles")
+        checked = self._once(c.check_profiles(self._records(self.profiles), self.run_ts), "profiles")
+        return self._once(without_repeats(checked, "tiktok_id"), "unique-profiles") if self.standard else checked
 
     @cached_property
     def checked_posts(self) -> DataFrame:
-        return self._once(c.check_posts(self.post_records, self.run_ts, self.on_bad_hashtag), "posts")
+        return self._once(c.check_posts(self._records(self.post_records), self.run_ts, self.on_bad_hashtag), "posts")
 
     @cached_property
     def checked_comments(self) -> DataFrame:
-        return self._once(c.check_comments(self.comment_records, self.run_ts), "comments")
+        return self._once(c.check_comments(self._records(self.comment_records), self.run_ts), "comments")
 
     @cached_property
     def checked_replies(self) -> DataFrame:
@@ -105,5 +112,6 @@ def clean(
     run_ts,
     on_bad_hashtag: str = "cut",
     staged: bool = True,
+    standard: bool = False,
 ) -> CleanTables:
-    return CleanTables(profiles, posts, comments, run_ts, on_bad_hashtag, staged)
+    return CleanTables(profiles, posts, comments, run_ts, on_bad_hashtag, staged, standard)
