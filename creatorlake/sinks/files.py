@@ -47,7 +47,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(folder)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     store, folder = _folder(spark, path)
     store.delete(folder, True)
 
@@ -63,7 +63,7 @@ def _write_counted(tables, root, run_id, fmt, mode, python_words=False) -> dict[
         _writer(csv_ready(counted, python_words) if fmt == "csv" else counted, fmt, mode).save(path)
         rows = seen.get["rows"]
         if not rows and not before:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
         written[name] = (path, rows)
     return written
 
