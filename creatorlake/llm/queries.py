@@ -12,6 +12,7 @@ from creatorlake.llm import (
 )
 from creatorlake.llm.common import held_out, may_learn, table
 from creatorlake.llm.registry import query
+from creatorlake.session import new_staging_path, stage
 
 
 @query()
@@ -91,8 +92,16 @@ OLD_SHARDS, SHARDS = 32, 40
 
 @query()
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = resharding.sized(table(spark, sf_dir, "documents"), OLD_SHARDS)
-    found = resharding.reshard(rows, [1.0] * SHARDS)
+    """The documents as they lie in the rewritten shards; shards that none left or entered were not rewritten, so they come
+    from the plan."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planned = stage(resharding.reshard(resharding.sized(docs, OLD_SHARDS), [1.0] * SHARDS), "plan")
+    path = new_staging_path(spark, "shards")
+    touched = resharding.rewrite(docs, planned, path)
+    found = planned.where(~F.col("shard").isin(touched)).select("doc_id", "size", "text_crc32", "shard", "slot", "old_shard")
+    if touched:
+        written = resharding.layout(spark, path)
+        found = resharding.sized(written, OLD_SHARDS, "shard", "slot").unionByName(found)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creatorlake.session import stage
+from creatorlake.sinks.files import delete, exists
 
 #: Bytes a document takes besides its text.
 OVERHEAD = 16
 #: A document above this share of an average shard is placed by itself, so there are fewer than GRAIN of them a shard.
 GRAIN = 64
-#: Rows that one window sorts, on average.
+#: Rows that one window sorts, on average, and slots that one task of a rewrite writes.
 BUCKET_ROWS = 50_000
 KEY = ["doc_id", "size", "text_crc32", "old_shard", "copy"]
 
@@ -88,10 +89,10 @@ def _offsets(rows: DataFrame, group: str, value) -> DataFrame:
     return sums.select(group, "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
 
 
-def sized(docs: DataFrame, old_shards: int) -> DataFrame:
-    """doc_id, size, text_crc32 and, for documents without a shard yet, the one their text falls into."""
+def sized(docs: DataFrame, old_shards: int, *also: str) -> DataFrame:
+    """doc_id, size, text_crc32 and, for documents without a shard yet, the one their text falls into; ``also`` other columns."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+    return docs.select("doc_id", *also, (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
                        F.pmod(F.xxhash64(text), F.lit(old_shards)).cast("int").alias("old_shard"))
 
 
@@ -138,7 +139,7 @@ def reshard(rows: DataFrame, weights: list[float]) -> DataFrame:
     small = small.join(_offsets(small, "old_shard", F.sum("size")), ["old_shard", "bucket"]).withColumn("middle", middle)
     moved = small.join(blocks, "old_shard").where("middle >= low AND middle < high").select(*KEY, "shard")
     if placed:
-        fields = "doc_id long, size long, text_crc32 long, old_shard int, copy long, shard int"
+        fields = f"doc_id {dict(rows.dtypes)['doc_id']}, size long, text_crc32 long, old_shard int, copy long, shard int"
         one_by_one = spark.createDataFrame([(*[r[k] for k in KEY], j) for r, j in placed], fields)
         moved = moved.unionByName(one_by_one)
     moved = stage(moved, "placed").withColumn("bucket", F.pmod(_hash(), F.lit(buckets)))
@@ -147,20 +148,34 @@ def reshard(rows: DataFrame, weights: list[float]) -> DataFrame:
     return slotted.select(*KEY, "shard", (F.col("before") + F.col("number") - 1).alias("slot"))
 
 
+def layout(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that ``rewrite`` wrote: doc_id, text, shard, slot. ``shard`` is a partition."""
+    return spark.read.parquet(path).select("doc_id", "text", F.col("shard").cast("int").alias("shard"), "slot")
+
+
 def rewrite(docs: DataFrame, planned: DataFrame, path: str) -> list[int]:
-    """Write anew the folders ``shard=k`` under ``path`` of shards that documents leave or enter, in slot order;
-    the others stay as they are. Returns the rewritten shards. ``docs`` has doc_id and text, and may be read from
-    ``path``: rows are written to the staging folder first."""
-    moves = planned.where("old_shard <> shard")
-    touched = sorted(r[0] for r in moves.select(F.explode(F.array("old_shard", "shard"))).distinct().collect())
-    shards = {r[0] for r in planned.select("shard").distinct().collect()}
-    touched = [k for k in touched if k in shards]
-    copies = Window.partitionBy("doc_id", "text_crc32").orderBy("text")
-    keyed = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    keyed = keyed.withColumn("copy", F.row_number().over(copies))
-    wanted = planned.where(F.col("shard").isin(touched)).select(*[F.col(k).alias(f"_{k}") for k in ("doc_id", "text_crc32", "copy")], "shard", "slot")
-    same = [keyed[k].eqNullSafe(F.col(f"_{k}")) for k in ("doc_id", "text_crc32", "copy")]
-    out = stage(keyed.join(wanted, same[0] & same[1] & same[2]).select("shard", "slot", "doc_id", "text"), "rewritten")
-    sorted_ = out.repartition("shard").sortWithinPartitions("shard", "slot")
-    sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    """Write anew the folders ``shard=k`` under ``path`` of shards that documents leave or enter, in slot order, and
+    remove those of shards left without any; the others stay as they are. Returns the shards written.
+
+    A shard is as many tasks and files as it has stretches of BUCKET_ROWS slots. ``docs`` has doc_id and text, and may
+    be read from ``path``: rows are written to the staging folder first. ``planned`` is read three times, so it should be staged.
+    An empty plan writes nothing."""
+    spark = planned.sparkSession
+    counts = planned.select("old_shard", "shard").groupBy("old_shard", "shard").agg(F.count("*").alias("n")).collect()
+    held = {r["shard"] for r in counts}
+    moved = {k for r in counts if r["old_shard"] != r["shard"] for k in (r["old_shard"], r["shard"])}
+    touched = sorted(moved & held)
+    if touched:
+        copies = Window.partitionBy("doc_id", "text_crc32").orderBy("text")
+        keyed = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+        keyed = keyed.withColumn("copy", F.row_number().over(copies))
+        keys = ("doc_id", "text_crc32", "copy")
+        wanted = planned.where(F.col("shard").isin(touched)).select(*[F.col(k).alias(f"_{k}") for k in keys], "shard", "slot")
+        same = [keyed[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
+        out = stage(keyed.join(wanted, same[0] & same[1] & same[2]).select("shard", "slot", "doc_id", "text"), "rewritten")
+        stretches = out.repartition("shard", F.floor(F.col("slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "slot")
+        stretches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for k in sorted(moved - held):
+        if exists(spark, f"{path}/shard={k}"):
+            delete(spark, f"{path}/shard={k}")
     return touched

@@ -277,7 +277,40 @@ def test_resharding(spark, documents, nothing, tmp_path):
     back = spark.read.parquet(path)
     assert sorted(touched) == sorted({x for r in got if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])} & set(held))
     assert back.count() == sum(len(slots[k]) for k in touched)
-    assert resharding.reshard(resharding.sized(nothing, 3), [1.0] * 5).count() == 0
+    empty = resharding.reshard(resharding.sized(nothing, 3), [1.0] * 5)
+    assert empty.count() == 0 and resharding.rewrite(nothing.select("doc_id", "text"), empty, str(tmp_path / "none")) == []
+
+
+def test_rewriting_back_and_forth(spark, documents, tmp_path, monkeypatch):
+    """Text ids; many stretches a shard; more shards, then fewer, then a plan that moves nothing: files always hold the plan."""
+    monkeypatch.setattr(resharding, "BUCKET_ROWS", 7)
+    docs = documents.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text")
+    want = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    path = str(tmp_path / "shards")
+    total = sum(len((t or "").encode()) + 16 for (_, t), n in want.items() for _ in range(n))
+
+    def planned_and_written(source, shards):
+        planned = resharding.stage(resharding.reshard(source, [1.0] * shards), "plan")
+        files = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard=*/*.parquet")}
+        texts = docs if not files else resharding.layout(spark, path)
+        touched = resharding.rewrite(texts.select("doc_id", "text"), planned, path)
+        kept = {p for p in files if int(p.parent.name[6:]) not in touched and p.parent.exists()}
+        assert all(p.exists() and p.stat().st_mtime_ns == files[p] for p in kept)
+        rows = resharding.layout(spark, path).collect()
+        assert collections.Counter((r["doc_id"], r["text"]) for r in rows) == want
+        assert collections.Counter((r["doc_id"], r["shard"], r["slot"], zlib.crc32((r["text"] or "").encode())) for r in rows) == \
+            collections.Counter((r["doc_id"], r["shard"], r["slot"], r["text_crc32"]) for r in planned.collect())
+        return touched, planned
+
+    def from_layout():
+        return resharding.sized(resharding.layout(spark, path), 3, "shard").drop("old_shard").withColumnRenamed("shard", "old_shard")
+
+    planned_and_written(resharding.sized(docs, 3), 5)
+    again, planned = planned_and_written(from_layout(), 5)
+    moved = planned.where("old_shard <> shard").agg({"size": "sum"}).first()[0] or 0
+    assert moved < 2 * 5 * total / 5 / resharding.GRAIN
+    planned_and_written(from_layout(), 2)
+    assert {p.name for p in (tmp_path / "shards").glob("shard=*")} == {"shard=0", "shard=1"}
 
 
 def test_min_cost_flow_moves_least():
