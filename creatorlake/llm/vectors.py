@@ -90,18 +90,19 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def _indexed(classes: DataFrame, index: Index) -> DataFrame:
-    """Every class with its cell and the cells it visits."""
+    """Every class with its cell and the cells it visits. Components stay of the type they have."""
+    vector = dict(classes.dtypes)["embedding"]
 
     def assign(batches):
         for batch in batches:
-            visited = index.traverse(_unit(_matrix(batch.column("embedding")))).astype(np.int64)
+            visited = index.traverse(_unit(_matrix(batch.column("embedding")))).astype(np.int32)
             flat = pa.array(visited.ravel())
             at = pa.array(np.arange(len(visited) + 1, dtype=np.int32) * visited.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), batch.column("embedding"),
                                               pa.array(visited[:, 0]), pa.ListArray.from_arrays(at, flat)],
                                              names=["node", "weight", "embedding", "cell", "visited"])
 
-    return classes.mapInArrow(assign, "node long, weight long, embedding array<double>, cell long, visited array<long>")
+    return classes.mapInArrow(assign, f"node long, weight long, embedding {vector}, cell int, visited array<int>")
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -148,8 +149,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
     Null or zero vectors, those with null or non-finite components, and those of another length than most
     link with nothing and are their own component. Null vec_ids count as links but name no component."""
     spark = vectors.sparkSession
-    # Doubles hold the given floats exactly. Row numbers are fixed once by writing them.
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    # Floats travel as they are, which is half of doubles, and are read as doubles where they are compared. Row numbers
+    # are fixed once by writing them.
+    vector = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("embedding").cast(vector).alias("embedding"))
     finite = "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)"
     rows = rows.withColumn("embedding", F.expr(f"IF({finite}, embedding, NULL)"))
     lengths = rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("size")).count()
@@ -162,7 +165,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
     classes = valid.groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     taught = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()["embedding"]
-    index = fit(np.stack(taught.to_list()), classes.count(), threshold)
+    index = fit(np.stack(taught.to_list()).astype(np.float64), classes.count(), threshold)
 
     held = stage(_indexed(classes.select("node", "weight", "embedding"), index), "cells")
     sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("parts"))
