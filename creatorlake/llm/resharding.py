@@ -89,11 +89,13 @@ def _offsets(rows: DataFrame, group: str, value) -> DataFrame:
     return sums.select(group, "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
 
 
-def sized(docs: DataFrame, old_shards: int, *also: str) -> DataFrame:
-    """doc_id, size, text_crc32 and, for documents without a shard yet, the one their text falls into; ``also`` other columns."""
+def sized(docs: DataFrame, old_shards: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32 and ``old_shard``: the shard of documents read from a layout, or the one of ``old_shards``
+    that a text without a shard falls into."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", *also, (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-                       F.pmod(F.xxhash64(text), F.lit(old_shards)).cast("int").alias("old_shard"))
+    old = F.col("shard") if old_shards is None else F.pmod(F.xxhash64(text), F.lit(old_shards)).cast("int")
+    return docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                       old.alias("old_shard"))
 
 
 def reshard(rows: DataFrame, weights: list[float]) -> DataFrame:
@@ -166,13 +168,17 @@ def rewrite(docs: DataFrame, planned: DataFrame, path: str) -> list[int]:
     moved = {k for r in counts if r["old_shard"] != r["shard"] for k in (r["old_shard"], r["shard"])}
     touched = sorted(moved & held)
     if touched:
-        copies = Window.partitionBy("doc_id", "text_crc32").orderBy("text")
-        keyed = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-        keyed = keyed.withColumn("copy", F.row_number().over(copies))
-        keys = ("doc_id", "text_crc32", "copy")
-        wanted = planned.where(F.col("shard").isin(touched)).select(*[F.col(k).alias(f"_{k}") for k in keys], "shard", "slot")
-        same = [keyed[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
-        out = stage(keyed.join(wanted, same[0] & same[1] & same[2]).select("shard", "slot", "doc_id", "text"), "rewritten")
+        wanted = planned.where(F.col("shard").isin(touched)).select(
+            "doc_id", "text_crc32", F.lit(None).cast("string").alias("text"), "copy", "shard", "slot")
+        none = [F.lit(None).cast(t).alias(c) for c, t in wanted.dtypes if c in ("copy", "shard", "slot")]
+        texts = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "text", *none)
+        # Places and texts meet in one shuffle: texts are numbered like the copies of the plan, then each follows its place.
+        met = wanted.withColumn("is_text", F.lit(False)).unionByName(texts.withColumn("is_text", F.lit(True))).repartition("doc_id", "text_crc32")
+        numbered = Window.partitionBy("doc_id", "text_crc32", "is_text").orderBy("text")
+        paired = Window.partitionBy("doc_id", "text_crc32", "copy").orderBy("is_text")
+        met = met.withColumn("copy", F.when(F.col("is_text"), F.row_number().over(numbered).cast("long")).otherwise(F.col("copy")))
+        met = met.withColumns({c: F.coalesce(c, F.lag(c).over(paired)) for c in ("shard", "slot")})
+        out = stage(met.where("is_text AND shard IS NOT NULL").select("shard", "slot", "doc_id", "text"), "rewritten")
         stretches = out.repartition("shard", F.floor(F.col("slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "slot")
         stretches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     for k in sorted(moved - held):

@@ -303,7 +303,7 @@ def test_rewriting_back_and_forth(spark, documents, tmp_path, monkeypatch):
         return touched, planned
 
     def from_layout():
-        return resharding.sized(resharding.layout(spark, path), 3, "shard").drop("old_shard").withColumnRenamed("shard", "old_shard")
+        return resharding.sized(resharding.layout(spark, path))
 
     planned_and_written(resharding.sized(docs, 3), 5)
     again, planned = planned_and_written(from_layout(), 5)
