@@ -361,6 +361,29 @@ def test_quality(spark, documents, nothing):
     assert quality.score(nothing, model).count() == 0
 
 
+def test_every_labelled_row_teaches(spark):
+    """More rows than one cell, and than the former sample of 8000; the share that passes is that labelled 1, counted over all."""
+    docs = spark.range(8300).selectExpr("id AS doc_id", "concat_ws(' ', if(id % 3 = 0, 'buy!! %$#', 'a calm sentence'), id * 7919, 'and more') AS text")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("label"))
+    model = quality.fit(docs, labels)
+    assert model.taught == 8300
+    passed = quality.score(docs, model).groupBy(F.col("doc_id") % 3 == 0).agg(F.sum("predicted").alias("n")).collect()
+    assert {r[0]: r[1] for r in passed} == {True: 0, False: labels.where("label = 1").count()}
+
+
+def test_order_statistics_are_exact(spark):
+    held = [3.5, -1.0, 3.5, 3.5, 0.0, 1e-9, 2e-9, 1e6, -1e6, 3.5]
+    values = spark.createDataFrame([(v,) for v in held], "v double")
+    assert [quality.order_statistic(values, k, 3) for k in range(len(held))] == sorted(held)
+
+
+def test_stretches_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ["It's  a\x0btest,\tisn't it?\x0c", "a\n\nb c-d 12x3 \x1b é'll", "", "  ", "the same the same words over and over again, over"] * 2:
+        assert encoder(text) == encoder.encode(text).tobytes()
+
+
 def test_ranking_orders_pairs():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3))
