@@ -18,7 +18,7 @@ LENGTH = 2048
 END = 1
 #: Documents packed together on average: enough to fill sequences, few enough for one task.
 GROUP_DOCUMENTS = 8192
-#: Distinct words whose ids a task remembers.
+#: Distinct words, and distinct stretches between blanks, whose ids a task remembers.
 CACHE_WORDS = 400_000
 #: ASCII (but the separators \x1c to \x1f, on which libraries differ) and Latin-1 letters: for texts of these,
 #: lower case and composed forms are one character for one, and words split as below. Other texts are encoded whole.
@@ -29,8 +29,9 @@ WORD_END = "</w>"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes. Merges never cross words, so a plain text's ids are
-    those of its words one after another, and a word met before need not be encoded again."""
+    """Ids of whole texts as little-endian 32-bit bytes. Merges never cross words, and words never cross blanks, so a plain
+    text's ids are those of its stretches between blanks one after another: one met before need not be cut into words
+    again, nor a word met before be encoded again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,14 +41,13 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
         """Encode words as one text; the ids that end a word tell them apart."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         ids = self.encode(" ".join(words))
         stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         held = ids.tobytes()
@@ -59,13 +59,25 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
             return self.encode(text).tobytes()
-        words = WORD.findall(text.lower())
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        stretches = text.lower().split()
+        held = self.stretches
+        try:
+            return b"".join([held[s] for s in stretches])
+        except KeyError:
+            if len(held) > CACHE_WORDS:
+                held.clear()
+            self.meet([s for s in dict.fromkeys(stretches) if s not in held])
+            return b"".join([held[s] for s in stretches])
+
+    def meet(self, stretches: list[str]) -> None:
+        """Cut new stretches into words and learn those not met before."""
+        cut = [WORD.findall(s) for s in stretches]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.known]
         if new:
-            if len(self.known) > CACHE_WORDS:
-                new = list(dict.fromkeys(words))
             self.learn(new)
-        return b"".join([self.known[w] for w in words])
+        self.stretches.update((s, b"".join([self.known[w] for w in words])) for s, words in zip(stretches, cut))
 
 
 def tokens(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
