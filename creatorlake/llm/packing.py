@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,66 +18,97 @@ LENGTH = 2048
 END = 1
 #: Documents packed together on average: enough to fill sequences, few enough for one task.
 GROUP_DOCUMENTS = 8192
-#: Distinct words, and distinct stretches between blanks, whose ids a task remembers.
-CACHE_WORDS = 400_000
-#: ASCII (but the separators \x1c to \x1f, on which libraries differ) and Latin-1 letters: for texts of these,
-#: lower case and composed forms are one character for one, and words split as below. Other texts are encoded whole.
-PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
-#: How this vocabulary cuts lower-case texts into words, stated for those characters (fixed values).
-WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+#: Distinct words whose ids a task remembers, and the most characters of one.
+CACHE_WORDS, CACHE_CHARACTERS = 400_000, 64
+#: Bytes of text encoded at once (a longer text is alone).
+CHUNK = 1 << 22
+#: Not ASCII (or one of the separators \x1c to \x1f, on which libraries differ), not a Latin-1 letter, or what may begin a
+#: special token. In stretches between blanks that hold none, lower case and composed forms are one character for one, and
+#: words split as below. Other stretches are encoded whole, as they stand.
+NOT_PLAIN = "[^\\x00-\\x1b\\x20-\\x7fÀ-ÖØ-öø-ÿ]|<\\|"
+#: How this vocabulary cuts lower-case stretches into words, stated for those characters (fixed values).
+WORD = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
 WORD_END = "</w>"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes. Merges never cross words, and words never cross blanks, so a plain
-    text's ids are those of its stretches between blanks one after another: one met before need not be cut into words
-    again, nor a word met before be encoded again."""
+    """Ids of whole texts as little-endian 32-bit bytes. Merges never cross words, and neither words nor composed characters
+    nor special tokens cross blanks, so a text's ids are those of its words one after another, and a word met before need
+    not be encoded again. Arrow cuts a column's texts into stretches between blanks, distinct stretches into words, and puts
+    the ids together; Python sees distinct words alone."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same merges with nothing before them, for words cut and in lower case already, parted by blanks.
+        self.merges = Tokenizer(self.tokenizer.model)
+        by_byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), by_byte])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> list[bytes]:
         """Encode words as one text; the ids that end a word tell them apart."""
-        ids = self.encode(" ".join(words))
+        ids = np.array(self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         held = ids.tobytes()
         if len(stop) == len(words):
-            self.known.update(zip(words, [held[a:b] for a, b in zip([0, *stop], stop)]))
-        else:
-            self.known.update((w, self.encode(w).tobytes()) for w in words)
+            return [held[a:b] for a, b in zip([0, *stop], stop)]
+        return [self.encode(w).tobytes() for w in words]
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.encode(text).tobytes()
-        stretches = text.lower().split()
-        held = self.stretches
-        try:
-            return b"".join([held[s] for s in stretches])
-        except KeyError:
-            if len(held) > CACHE_WORDS:
-                held.clear()
-            self.meet([s for s in dict.fromkeys(stretches) if s not in held])
-            return b"".join([held[s] for s in stretches])
-
-    def meet(self, stretches: list[str]) -> None:
-        """Cut new stretches into words and learn those not met before."""
-        cut = [WORD.findall(s) for s in stretches]
+        return next(self.column(pa.array([text], pa.string())))
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column; a null has none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        chunk = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // CHUNK
+        stops = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
+        for a, b in zip(stops, stops[1:]):
+            held = self.chunk(texts.slice(a, b - a))
+            yield from (ids.as_py() for ids in held)
+
+    def chunk(self, texts: pa.Array) -> pa.Array:
+        texts = pc.if_else(pc.match_substring_regex(texts, NOT_PLAIN), texts, pc.utf8_lower(texts))
+        texts = pc.ascii_split_whitespace(texts)
+        stretches = texts.values.dictionary_encode()
+        cut = stretches.dictionary
+        cut = pc.if_else(pc.match_substring_regex(cut, NOT_PLAIN), cut, pc.replace_substring_regex(pc.utf8_lower(cut), WORD, r"\1 "))
+        cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(cut))
+        words = cut.values.dictionary_encode()
+        ids = pa.array(self.look_up(words.dictionary), pa.large_binary())
+        return joined(joined(ids.take(words.indices), cut.offsets).take(stretches.indices), texts.offsets)
+
+    def look_up(self, distinct: pa.Array) -> list[bytes]:
+        """The ids of distinct words, and of stretches encoded whole."""
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
+        found = [self.known.get(w) for w in words]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        whole = pc.match_substring_regex(distinct, NOT_PLAIN).to_numpy(zero_copy_only=False)
+        plain = [k for k in new if not whole[k]]
+        for k, ids in zip(plain, self.learn([words[k] for k in plain])):
+            found[k] = ids
+        for k in new:
+            if whole[k]:
+                found[k] = self.encode(words[k]).tobytes()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.known]
-        if new:
-            self.learn(new)
-        self.stretches.update((s, b"".join([self.known[w] for w in words])) for s, words in zip(stretches, cut))
+        self.known.update((words[k], found[k]) for k in new if len(words[k]) <= CACHE_CHARACTERS)
+        return found
+
+
+def joined(values: pa.Array, offsets: pa.Array) -> pa.Array:
+    """One binary value for the values between two offsets each."""
+    _, places, held = values.buffers()
+    places = np.frombuffer(places, np.int64)[values.offset :] if len(values) else np.zeros(1, np.int64)
+    stops = places[offsets.to_numpy()]
+    return pa.Array.from_buffers(pa.large_binary(), len(stops) - 1, [None, pa.py_buffer(stops), held or pa.py_buffer(b"")])
 
 
 def tokens(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
@@ -90,8 +121,8 @@ def tokens(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, keep_ids:
         end = END.to_bytes(4, "little")
         for column in columns:
             count, crcs, ids = [], [], []
-            for text in column:
-                held = encoder(text.as_py() or "") + end
+            for text_ids in encoder.column(column):
+                held = text_ids + end
                 count.append(len(held) // 4)
                 crcs.append([zlib.crc32(held[k : k + 4 * length]) for k in range(0, len(held), 4 * length)])
                 ids.append(held if keep_ids else None)

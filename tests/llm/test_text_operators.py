@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -384,6 +385,29 @@ def test_stretches_give_the_ids_of_whole_texts(monkeypatch):
         assert encoder(text) == encoder.encode(text).tobytes()
 
 
+def test_words_of_any_script_are_encoded_once():
+    encoder, seen = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    whole = encoder.encode
+    encoder.encode = lambda text: (seen.append(text), whole(text))[1]
+    for k in range(20):
+        text = f"“quote” — don’t {k}x Слово слово <|endoftext|>y"
+        assert encoder(text) == whole(text).tobytes()
+    assert sorted(seen) == sorted({"“quote”", "—", "don’t", "Слово", "слово", "<|endoftext|>y"})
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_columns_give_the_ids_of_whole_texts(monkeypatch, kind):
+    monkeypatch.setattr(packing, "CHUNK", 64)
+    parts = ["a", "It's", "H\u0331", "E\u0301", "\u0301", "ΑΣ", "İ", "ß", "ÿ", "Å", " ", "  ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\x00",
+             "'s", "’s", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|", "12", "٣", "的", "\u1100\u1161", "😀", "...", "-"]
+    rng = np.random.default_rng(7)
+    texts = [None, "", " "] + ["".join(rng.choice(parts, n)) for n in rng.integers(0, 25, 300)] + ["x " * 100, None]
+    encoder = packing.Encoder(TOKENIZER)
+    want = [encoder.encode(t or "").tobytes() for t in texts]
+    assert list(encoder.column(pa.array(texts, kind))) == want
+    assert list(encoder.column(pa.array([None, "\n"], kind))) == [b"", b""] and list(encoder.column(pa.array([], kind))) == []
+
+
 def test_ranking_orders_pairs():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3))
