@@ -22,6 +22,8 @@ GROUP_DOCUMENTS = 8192
 CACHE_WORDS, CACHE_CHARACTERS = 400_000, 64
 #: Bytes of text encoded at once (a longer text is alone).
 CHUNK = 1 << 22
+#: New words encoded at once: the tokenizer describes each id at length.
+LEARN_WORDS = 1 << 14
 #: Not ASCII (or one of the separators \x1c to \x1f, on which libraries differ), not a Latin-1 letter, or what may begin a
 #: special token. In stretches between blanks that hold none, lower case and composed forms are one character for one, and
 #: words split as below. Other stretches are encoded whole, as they stand.
@@ -54,6 +56,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[str]) -> list[bytes]:
+        return [ids for k in range(0, len(words), LEARN_WORDS) for ids in self.learn_together(words[k : k + LEARN_WORDS])]
+
+    def learn_together(self, words: list[str]) -> list[bytes]:
         """Encode words as one text; the ids that end a word tell them apart."""
         ids = np.array(self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
@@ -72,6 +77,7 @@ class Encoder:
         stops = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
         for a, b in zip(stops, stops[1:]):
             held = self.chunk(texts.slice(a, b - a))
+            pa.default_memory_pool().release_unused()
             yield from (ids.as_py() for ids in held)
 
     def chunk(self, texts: pa.Array) -> pa.Array:
@@ -128,6 +134,9 @@ def tokens(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, keep_ids:
                 ids.append(held if keep_ids else None)
             yield pa.StructArray.from_arrays([pa.array(count, pa.int64()), pa.array(crcs, pa.list_(pa.int64())),
                                               pa.array(ids, pa.binary())], ["doc_tokens", "crcs", "ids"])
+        # Spark keeps the worker for later stages, which need the memory themselves.
+        encoder = column = None
+        pa.default_memory_pool().release_unused()
 
     found = docs.select("doc_id", encoded(F.col("text")).alias("found"))
     return found.select("doc_id", "found.doc_tokens", "found.crcs", *(["found.ids"] if keep_ids else []))

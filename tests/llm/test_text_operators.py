@@ -408,6 +408,29 @@ def test_columns_give_the_ids_of_whole_texts(monkeypatch, kind):
     assert list(encoder.column(pa.array([None, "\n"], kind))) == [b"", b""] and list(encoder.column(pa.array([], kind))) == []
 
 
+def test_many_new_words_are_encoded_in_parts(monkeypatch):
+    """What a worker holds while it learns, and keeps from Arrow afterwards, is bounded whatever a text holds."""
+    words = [f"w{k:05d}" for k in range(50_000)]
+    encoder, asked, released = packing.Encoder(TOKENIZER), [], []
+    merges, pool = encoder.merges, pa.default_memory_pool()
+
+    class Asked:
+        def encode_batch_fast(self, texts, **how):
+            asked.append(max(len(t.split()) for t in texts))
+            return merges.encode_batch_fast(texts, **how)
+
+    class Pool:
+        def release_unused(self):
+            released.append(1)
+            pool.release_unused()
+
+    encoder.merges = Asked()
+    monkeypatch.setattr(packing.pa, "default_memory_pool", Pool)
+    text = " ".join(f"{w[0]}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k, w in enumerate(words))
+    assert encoder(text) == encoder.encode(text).tobytes()
+    assert sum(asked) == 50_000 and max(asked) <= 1 << 14 and released
+
+
 def test_ranking_orders_pairs():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3))
