@@ -89,11 +89,13 @@ def ranked(spark, sf_dir):
 
 
 def trimmed_posts(spark, sf_dir):
-    return topn.first_posts_per_profile(posts(spark, sf_dir), 5)
+    lists = inputs.post_captures(spark, sf_dir)
+    return topn.first_posts_per_profile(extract.extract_posts(decoded(lists)), 5, topn.holds_hot_key(lists, "ctx_user_id"))
 
 
 def trimmed_comments(spark, sf_dir):
-    return topn.first_comments_per_post(comments(spark, sf_dir), 3)
+    lists = inputs.comment_captures(spark, sf_dir)
+    return topn.first_comments_per_post(extract.extract_comments(decoded(lists)), 3, topn.holds_hot_key(lists, "ctx_post_id"))
 
 
 @query(f"SELECT {AUTHOR_COLUMNS} FROM ({AUTHORS_SQL})")

@@ -1,6 +1,6 @@
 """Captured responses to related entities, flat tables and summaries.
 
-One lazy plan. ``staged=True`` writes the decoded, deduplicated and trimmed entities once to the
+One lazy plan, but for a count of responses per post and profile. ``staged=True`` writes the decoded, deduplicated and trimmed entities once to the
 staging folder, since several outputs read each of them."""
 
 from __future__ import annotations
@@ -85,8 +85,10 @@ def _stages(search: DataFrame, post_lists: DataFrame, comment_lists: DataFrame,
     if staged:
         authors = stage(authors, "authors")
     ranked = topn.top_profiles_per_hashtag(authors, profiles_per_hashtag)
-    posts = topn.first_posts_per_profile(extract.extract_posts(post_lists), posts_per_profile)
-    comments = topn.first_comments_per_post(extract.extract_comments(comment_lists), comments_per_post)
+    # Counted by responses, which needs one column of them and no body.
+    hot_profile, hot_post = topn.holds_hot_key(post_lists, "ctx_user_id"), topn.holds_hot_key(comment_lists, "ctx_post_id")
+    posts = topn.first_posts_per_profile(extract.extract_posts(post_lists), posts_per_profile, hot_profile)
+    comments = topn.first_comments_per_post(extract.extract_comments(comment_lists), comments_per_post, hot_post)
     if staged:
         ranked, posts, comments = stage(ranked, "ranked"), stage(posts, "posts"), stage(comments, "comments")
     return relate(ranked, posts, comments, authors)
