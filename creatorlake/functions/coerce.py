@@ -16,8 +16,9 @@ def _text_to_bigint(s: str) -> str:
     return f"try_cast(replace(regexp_extract({s}, {_DIGITS}, 0), '_', '') AS BIGINT)"
 
 
-def _is_fraction_type(v: str) -> str:
-    return f"({kind(v)} LIKE 'DECIMAL%' OR {kind(v)} IN ('DOUBLE', 'FLOAT'))"
+def _is_fraction_type(v: str, k: str | None = None) -> str:
+    k = kind(v) if k is None else k
+    return f"({k} LIKE 'DECIMAL%' OR {k} IN ('DOUBLE', 'FLOAT'))"
 
 
 def comma_int(s: str) -> str:
@@ -38,13 +39,13 @@ def lax_int(v: str) -> str:
             THEN {scalar(v, 'bigint')} END"""
 
 
-def truncating_int(v: str) -> str:
-    """Like ``lax_int`` but numbers lose their fraction and text must be a plain integer."""
-    s = scalar(v, "string")
+def truncating_int(v: str, k: str | None = None) -> str:
+    """Like ``lax_int`` but numbers lose their fraction and text must be a plain integer. ``k`` is a column that holds the kind
+    of ``v``, for wide projections: their code must stay small enough to be compiled."""
+    s, k = scalar(v, "string"), kind(v) if k is None else k
     return f"""CASE
-        WHEN {kind(v)} IN ('BIGINT', 'BOOLEAN') THEN {scalar(v, 'bigint')}
-        WHEN {kind(v)} = 'STRING' THEN if({matches(s, _INT_TEXT)}, {_text_to_bigint(s)}, NULL)
-        WHEN {_is_fraction_type(v)} THEN {scalar(v, 'bigint')} END"""
+        WHEN {k} = 'STRING' THEN if({matches(s, _INT_TEXT)}, {_text_to_bigint(s)}, NULL)
+        WHEN {k} IN ('BIGINT', 'BOOLEAN') OR {_is_fraction_type(v, k)} THEN {scalar(v, 'bigint')} END"""
 
 
 def counter(v: str) -> str:
@@ -52,12 +53,12 @@ def counter(v: str) -> str:
     return f"if({kind(v)} = 'STRING', {comma_int(scalar(v, 'string'))}, {lax_int(v)})"
 
 
-def lax_bool(v: str) -> str:
-    word, d = f"lower({scalar(v, 'string')})", scalar(v, "double")
+def lax_bool(v: str, k: str | None = None) -> str:
+    word, d, k = f"lower({scalar(v, 'string')})", scalar(v, "double"), kind(v) if k is None else k
     return f"""CASE
-        WHEN {kind(v)} = 'BOOLEAN' THEN {scalar(v, 'boolean')}
-        WHEN {kind(v)} = 'STRING' THEN
+        WHEN {k} = 'BOOLEAN' THEN {scalar(v, 'boolean')}
+        WHEN {k} = 'STRING' THEN
             CASE WHEN {word} IN ({words(TRUE_WORDS)}) THEN true
                  WHEN {word} IN ({words(FALSE_WORDS)}) THEN false END
-        WHEN {kind(v)} = 'BIGINT' OR {_is_fraction_type(v)} THEN
+        WHEN {k} = 'BIGINT' OR {_is_fraction_type(v, k)} THEN
             CASE {d} WHEN 1 THEN true WHEN 0 THEN false END END"""

@@ -34,6 +34,11 @@ def get_or_default(v: str, key: str, default: str) -> str:
     return f"coalesce({field(v, key)}, parse_json('{default}'))"
 
 
+def plain(v: str, key: str, sql_type: str, default: str) -> str:
+    """``get_or_default`` read as a plain type (``default`` is one of its values): looked up again only where nothing was read."""
+    return f"coalesce(try_variant_get({v}, '$.{key}', '{sql_type}'), if({field(v, key)} IS NULL, {default}, NULL))"
+
+
 def unless_nothing(v: str, default_json: str) -> str:
     """JSON text in place of a missing value or JSON null."""
     return f"if({is_nothing(v)}, parse_json('{default_json}'), {v})"
@@ -64,14 +69,13 @@ def is_nothing(v: str) -> str:
     return f"({v} IS NULL OR is_variant_null({v}))"
 
 
-def is_empty(v: str) -> str:
-    """Missing, null, false, zero, empty text, empty list or empty object."""
+def is_empty(v: str, k: str | None = None) -> str:
+    """Missing, null, false, zero, empty text, empty list or empty object. ``k`` is a column that holds the kind of ``v``."""
     return (
-        f"({is_nothing(v)}"
-        f" OR coalesce(size({scalar(v, 'map<string, variant>')}) = 0, false)"
-        f" OR coalesce(size({as_array(v)}) = 0, false)"
-        f" OR coalesce({kind(v)} = 'STRING' AND {scalar(v, 'string')} = '', false)"
-        f" OR coalesce({kind(v)} <> 'STRING' AND {scalar(v, 'double')} = 0, false))"
+        f"CASE WHEN {is_nothing(v)} THEN true"
+        f" WHEN {kind(v) if k is None else k} = 'STRING' THEN {scalar(v, 'string')} = ''"
+        f" ELSE coalesce(size({scalar(v, 'map<string, variant>')}) = 0, false)"
+        f" OR coalesce(size({as_array(v)}) = 0, false) OR coalesce({scalar(v, 'double')} = 0, false) END"
     )
 
 
